@@ -30,7 +30,7 @@ WINDOW = 13
 #: Test windows held in memory, and broadcast, at a time (about 24 bytes each).
 TEST_BLOCK = 2_000_000
 
-SPANS = T.ArrayType(T.StructType().add("start", "int").add("end", "int"))
+SPANS = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))
 #: What search() adds: words in all, longest matches in words, and ids of the items matched.
 FOUND = ("_words", "_spans", "_items")
 
@@ -124,7 +124,7 @@ def search(docs: DataFrame, tests: dict[int, tuple[np.ndarray, np.ndarray, np.nd
             yield pa.record_batch([*(rows.column(c) for c in plain), *made], [*plain, *FOUND])
 
     schema = T.StructType([docs.schema[c] for c in plain])
-    return C.map_texts(docs, make, schema.add("_words", "long").add("_spans", SPANS).add("_items", T.ArrayType(T.LongType())))
+    return C.map_texts(docs, make, schema.add("_words", T.LongType()).add("_spans", SPANS).add("_items", T.ArrayType(T.LongType())))
 
 
 def blocks_of(windows: DataFrame, size: int):
