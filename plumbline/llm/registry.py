@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, warc
+from . import decontaminate, langid, licenses, minhash, quality, warc
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_warc_round_trip": warc.op2_warc_round_trip,
+    "op4_minhash": minhash.op4_minhash,
+    "op6_quality": quality.op6_quality,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_decontaminate": decontaminate.op8_decontaminate,
 }
-ORACLE_SQL = {"op2_warc_round_trip": warc.SQL, "op8_decontaminate": decontaminate.SQL}
+ORACLE_SQL = {"op2_warc_round_trip": warc.SQL, "op4_minhash": minhash.SQL, "op8_decontaminate": decontaminate.SQL}
 
 
 def queries() -> dict:
