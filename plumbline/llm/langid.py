@@ -131,8 +131,13 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
 
 
 def accepted(docs: DataFrame, model: dict | None, least: float = 0.0) -> DataFrame:
-    """The documents whose language is known with a score of at least `least`; a null lang takes the prediction."""
+    """The documents whose language is known with a score of at least `least`; a null lang takes the prediction.
+
+    Without a model, the documents that have a letter.
+    """
     columns = docs.columns
+    if model is None:
+        return docs.where(docs["text"].cast("string").rlike(r"\p{L}"))
     renamed = docs.select(*[F.col(c).alias(f"_in_{c}") for c in columns if c != "text"], "text")
     kept = predict(renamed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     back = {c: F.col("text") if c == "text" else F.col(f"_in_{c}") for c in columns}

@@ -176,6 +176,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """docs, with all columns, without the rows whose component has a smaller doc_id; rows equal in doc_id and text stay once."""
+    gone = near_duplicates(docs).where(F.col("component_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id IS NULL"))
+
+
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(C.table(spark, sf_dir, "documents"))
 
