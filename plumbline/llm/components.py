@@ -34,8 +34,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
     while True:
         new = C.written(_small_star(_large_star(edges)), "stars")
-        # A forest of stars: no root has a parent of its own, and no node two.
-        again = new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() or new.groupBy("u").count().where("count > 1").limit(1).count()
+        # A forest of stars: no node has two parents, and no parent one of its own.
+        ends = new.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(new.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        again = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").limit(1).count()
         if old is not None:
             C.dropped(spark, old)
         if not again:

@@ -7,9 +7,10 @@
    every other class. Candidate pairs are estimated from the packed signatures by bit counts, corrected for
    chance collisions of low bits, and those far below the threshold are dropped.
 3. What is left is confirmed on the full sets, and confirmed links are joined into components.
-4. A bucket that still holds several components goes through again with another leader, STARS times at most
-   in all. After that the pairs of different components in such buckets that were not tried yet are all
-   tried, so no link between components goes unseen.
+4. A bucket that still holds several components goes through again. Its members get signatures of FINE minima,
+   and every member outside the bucket's largest component is held against all members of other components,
+   inside a join that lets a pair out only if its finer estimate is near the threshold. What comes out is
+   confirmed too, so no link between components goes unseen.
 
 With BANDS bands of 4 minima, a pair of similarity 0.75 shares no band with probability 5e-6.
 
@@ -30,10 +31,9 @@ from .components import components
 
 WORDS, SHARE = 5, 75
 HASHES, BANDS, BITS = 128, 32, 2
-STARS = 3
-#: How far an estimate may fall below the threshold before the pair is dropped unread: six standard errors.
-MARGIN = 0.28
-PARTS = HASHES * BITS // 64
+FINE = 512
+#: Standard errors of an estimate by which it may fall below the threshold before the pair is dropped unread.
+ERRORS = 5
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -51,23 +51,30 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, BANDS) band keys and (rows, PARTS) packed low bits; sets must not be empty."""
+def minima_of(sets: list[np.ndarray], hashes: int) -> np.ndarray:
+    """(rows, hashes) minima of the sets, none of which is empty."""
     all_hashes = (np.concatenate(sets) >> C.U64(32)).astype(np.uint32)
     first = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
-    codes = C.mixed(np.arange(1, 2 * HASHES + 1, dtype=C.U64))
-    minima = np.empty((len(sets), HASHES), np.uint32)
-    for k in range(HASHES):
+    codes = C.mixed(np.arange(1, 2 * hashes + 1, dtype=C.U64))
+    minima = np.empty((len(sets), hashes), np.uint32)
+    for k in range(hashes):
         minima[:, k] = np.minimum.reduceat(all_hashes * np.uint32(codes[2 * k] | C.U64(1)) + np.uint32(codes[2 * k + 1] >> C.U64(32)), first)
-    minima = minima.astype(C.U64)
-    keys = np.zeros((len(sets), BANDS), C.U64)
+    return minima.astype(C.U64)
+
+
+def band_keys(minima: np.ndarray) -> np.ndarray:
+    """(rows, BANDS) keys."""
+    keys = np.zeros((len(minima), BANDS), C.U64)
     for k in range(HASHES // BANDS):
         keys = C.mixed(keys + minima[:, k :: HASHES // BANDS])
-    keys = C.mixed(keys + np.arange(BANDS, dtype=C.U64) * C.U64(0x9E3779B97F4A7C15))
-    low = (minima ^ (minima >> C.U64(16))) & C.U64((1 << BITS) - 1)
+    return C.mixed(keys + np.arange(BANDS, dtype=C.U64) * C.U64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def packed(minima: np.ndarray) -> np.ndarray:
+    """(rows, longs): BITS low bits of each minimum."""
     each = 64 // BITS
-    packed = (low.reshape(len(sets), PARTS, each) << (np.arange(each, dtype=C.U64) * C.U64(BITS))).sum(2, dtype=C.U64)
-    return keys.view(np.int64), packed.view(np.int64)
+    low = (minima ^ (minima >> C.U64(16))) & C.U64((1 << BITS) - 1)
+    return (low.reshape(len(minima), -1, each) << (np.arange(each, dtype=C.U64) * C.U64(BITS))).sum(2, dtype=C.U64).view(np.int64)
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -83,9 +90,9 @@ def described(docs: DataFrame) -> DataFrame:
             bands, sig = [None] * (b - a), [None] * (b - a)
             if len(full):
                 some = [sets[k] for k in full]
-                keys, packed = signatures(some)
-                for i, k in enumerate(full):
-                    bands[k], sig[k] = keys[i], packed[i]
+                minima = minima_of(some, HASHES)
+                for k, keys, low in zip(full, band_keys(minima), packed(minima), strict=True):
+                    bands[k], sig[k] = keys, low
                 joined, first = np.concatenate(some), np.r_[0, np.cumsum(size[full])[:-1]]
                 for out, seed in ((d1, 0x51), (d2, 0xA7)):
                     out[full] = np.add.reduceat(C.mixed(joined, seed), first).view(np.int64)
@@ -96,13 +103,33 @@ def described(docs: DataFrame) -> DataFrame:
     return C.map_texts(docs, make, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig array<long>")
 
 
-def estimate(one, other):
-    """Column: similarity estimated from two packed signatures; chance makes 1 / 2**BITS of unequal minima look equal."""
+def likely(one, other, hashes: int):
+    """Column: whether two packed signatures of so many minima leave the threshold within reach.
+
+    The similarity is estimated by bit counts and corrected for chance, which makes 1 / 2**BITS of unequal minima look equal.
+    """
     differ = F.lit(0)
-    for k in range(PARTS):
+    for k in range(hashes * BITS // 64):
         x = one[k].bitwiseXOR(other[k])
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return ((1 - differ / HASHES) - 0.5**BITS) / (1 - 0.5**BITS)
+    chance = 0.5**BITS
+    alike = chance + (1 - chance) * SHARE / 100
+    error = (alike * (1 - alike) / hashes) ** 0.5 / (1 - chance)
+    return ((1 - differ / hashes) - chance) / (1 - chance) >= SHARE / 100 - ERRORS * error
+
+
+def finely(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and fine, the packed signature of FINE minima, for the documents nodes(node)."""
+
+    def make(batch):
+        data, offsets = C.column_bytes(batch.column("text"))
+        for a, b in C.blocks(offsets):
+            sets = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            full = [k for k in range(b - a) if len(sets[k])]
+            if full:
+                yield pa.record_batch([batch.column("node").take(pa.array([a + k for k in full])), pa.array(list(packed(minima_of([sets[k] for k in full], FINE))), pa.list_(pa.int64()))], ["node", "fine"])
+
+    return C.map_texts(nodes.join(docs.withColumnRenamed("doc_id", "node"), "node").select("node", "text"), make, "node long, fine array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -136,46 +163,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = known.join(classes, ["d1", "d2"]).select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig"))
     named = C.written(named, "classes")
     heads = named.where("bands IS NOT NULL")
-    sigs = heads.select("node", "sig")
+    sigs = heads.select("node", "sig").distinct()
     in_bands = heads.select("node", F.explode("bands").alias("band")).distinct()
     crowded = in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = C.written(in_bands.join(crowded, "band"), "buckets")
 
     # Rows that repeat a doc_id can stand for several sets: those are linked as they are.
-    links = C.written(named.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).join(heads.select(F.col("node").alias("u")).distinct(), "u", "left_semi"), "links")
-    tried = None
-    label = members.select("node", F.col("node").alias("component")).limit(0)
-    for star in range(STARS + 1):
-        tagged = members.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        mixed = tagged.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        tagged = C.written(tagged.join(mixed, "band"), "mixed")
-        if not tagged.limit(1).count():
-            break
-        if star < STARS:
-            # The leader is the class of the least rank among those of the largest (by id) component, or of any in the first round.
-            rank = F.xxhash64("node", F.lit(star))
-            leader = tagged.groupBy("band").agg(F.min_by("node", rank).alias("lead"), F.min_by("component", rank).alias("of"))
-            pairs = tagged.join(leader, "band").where("component <> of").select(F.col("node").alias("u"), F.col("lead").alias("v"))
-        else:
-            other = tagged.select("band", F.col("node").alias("v"), F.col("component").alias("of"))
-            pairs = tagged.join(other, "band").where("component < of").select(F.col("node").alias("u"), "v")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti").join(tried.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
-        pairs = pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("a")).dropDuplicates(["u"]), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("b")).dropDuplicates(["v"]), "v")
-        pairs = C.written(pairs.select("u", "v", (estimate(F.col("a"), F.col("b")) >= SHARE / 100 - MARGIN).alias("likely")), "pairs")
-        tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
-        found = C.written(confirmed(pairs.where("likely").select("u", "v"), docs), "links")
-        links = links.unionByName(found)
-        label = components(links)
-    final = label.select(F.col("node"), "component") if star else components(links)
-    by_node = named.select("doc_id", "node").distinct().join(final, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    twice = named.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).join(heads.select(F.col("node").alias("u")), "u", "left_semi")
+    leader = members.groupBy("band").agg(F.min("node").alias("lead"))
+    pairs = members.join(leader, "band").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
+    pairs = pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v")
+    tried = C.written(pairs.where(likely(F.col("a"), F.col("b"), HASHES)).select("u", "v").distinct(), "pairs")
+    label = joined(None, confirmed(tried, docs).unionByName(twice))
+
+    tagged = members.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    parts = tagged.groupBy("band", "component").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("band").agg(F.count("*").alias("kinds"), F.max_by("component", "k").alias("largest")).where("kinds > 1").select("band", "largest")
+    mixed = C.written(tagged.join(mixed, "band"), "mixed")
+    if mixed.limit(1).count():
+        fine = C.written(finely(mixed.select("node").distinct(), docs), "fine")
+        mixed = mixed.join(fine, "node")
+        minor = mixed.where("component <> largest").select("band", F.col("node").alias("u"), F.col("component").alias("of_u"), F.col("fine").alias("fine_u"))
+        # The estimate is part of the join, so only likely pairs are rows of its result.
+        near = (F.col("band") == F.col("band_u")) & (F.col("component") != F.col("of_u")) & likely(F.col("fine"), F.col("fine_u"), FINE)
+        pairs = mixed.join(minor.withColumnRenamed("band", "band_u"), near).select(F.greatest("u", "node").alias("u"), F.least("u", "node").alias("v")).distinct()
+        label = joined(label, confirmed(C.written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs"), docs))
+    by_node = named.select("doc_id", "node").distinct().join(label, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     by_doc = by_node.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """label(node, component) with links(u, v) added: only the components they join are gone through again."""
+    if label is None:
+        return C.written(components(links), "label")
+    of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    between = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v"))
+    moved = C.written(components(between), "moved").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = moved.select(F.col("component").alias("node"), F.col("to").alias("component")).join(label.select("node"), "node", "left_anti")
+    return C.written(old.unionByName(new), "label")
+
+
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """docs, with all columns, without the rows whose component has a smaller doc_id; rows equal in doc_id and text stay once."""
     gone = near_duplicates(docs).where(F.col("component_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
