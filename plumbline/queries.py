@@ -190,7 +190,7 @@ def schema_validate(spark, sf):
     """Whether props are JSON; every 97th is spoilt first, so that there are bad rows."""
     events = table(spark, sf, "events")
     spoilt = F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
-    return events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.expr("try_parse_json(p) IS NOT NULL").alias("valid") if False else F.try_parse_json(spoilt).isNotNull().alias("valid"))
+    return events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.try_parse_json(spoilt).isNotNull().alias("valid"))
 
 
 @query(f"WITH RECURSIVE {PAIRS}, e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p), r AS (SELECT vec_id FROM embeddings WHERE vec_id % 25 = 0 UNION SELECT e.v FROM r JOIN e ON e.u = r.vec_id) SELECT vec_id FROM r")
@@ -211,7 +211,7 @@ def severity_overlay(spark, sf):
 @query(
     f"WITH {CHUNKS}, g AS (SELECT hash, min(doc_id) AS r, count(*) AS n, min(loc) AS l FROM c GROUP BY hash HAVING count(*) > 1 AND (min(loc) * count(*) >= 20 OR count(*) >= 4)) "
     "SELECT 'exact-copy' AS rule_id, 'error' AS severity, 'doc/' || c.doc_id AS file, 1 AS start_line, 1 AS start_col, CAST(loc AS INT) AS end_line, 1 AS end_col, 'copy of doc/' || r AS message, 'Keep doc/' || r || ' only.' AS suggestion FROM c JOIN g USING (hash) WHERE doc_id <> r "
-    "UNION ALL SELECT 'unlabelled', 'warn', 'doc/' || doc_id, 1, 1, 1, 1, 'no label', 'No suggestion available.' FROM documents ANTI JOIN labels USING (doc_id)"
+    "UNION ALL SELECT 'unlabelled', 'warn', 'doc/' || doc_id, 1, 1, 1, 1, 'no label', 'No suggestion available for this rule.' FROM documents ANTI JOIN labels USING (doc_id)"
 )
 def violation_sort(spark, sf):
     """Reports of two rules as one relation in the global order."""
