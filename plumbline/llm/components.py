@@ -31,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     folder, and the one before deleted. Nulls must be filtered out before; loops and repeated links do no harm.
     """
     spark, old = links.sparkSession, None
-    edges = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
+    edges = C.written(links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v"), "edges")
     while True:
         new = C.written(_small_star(_large_star(edges)), "stars")
         # A forest of stars: no node has two parents, and no parent one of its own.

@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = members.join(leader, "band").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
     pairs = pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v")
     tried = C.written(pairs.where(likely(F.col("a"), F.col("b"), HASHES)).select("u", "v").distinct(), "pairs")
-    label = joined(None, confirmed(tried, docs).unionByName(twice))
+    label = joined(None, C.written(confirmed(tried, docs), "links").unionByName(twice))
 
     tagged = members.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     parts = tagged.groupBy("band", "component").agg(F.count("*").alias("k"))
@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # The estimate is part of the join, so only likely pairs are rows of its result.
         near = (F.col("band") == F.col("band_u")) & (F.col("component") != F.col("of_u")) & likely(F.col("fine"), F.col("fine_u"), FINE)
         pairs = mixed.join(minor.withColumnRenamed("band", "band_u"), near).select(F.greatest("u", "node").alias("u"), F.least("u", "node").alias("v")).distinct()
-        label = joined(label, confirmed(C.written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs"), docs))
+        pairs = C.written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        label = joined(label, C.written(confirmed(pairs, docs), "links"))
     by_node = named.select("doc_id", "node").distinct().join(label, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     by_doc = by_node.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")
