@@ -165,12 +165,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = named.where("bands IS NOT NULL")
     sigs = heads.select("node", "sig").distinct()
     in_bands = heads.select("node", F.explode("bands").alias("band")).distinct()
-    crowded = in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    crowded = in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = C.written(in_bands.join(crowded, "band"), "buckets")
 
     # Rows that repeat a doc_id can stand for several sets: those are linked as they are.
     twice = named.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).join(heads.select(F.col("node").alias("u")), "u", "left_semi")
-    leader = members.groupBy("band").agg(F.min("node").alias("lead"))
+    # The member that meets most others over all its buckets leads: in a crowd of near-copies mostly one text, the least changed.
+    crowd = members.groupBy("node").agg(F.sum("n").alias("crowd"))
+    rank = F.col("crowd") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    leader = members.join(crowd, "node").groupBy("band").agg(F.max_by("node", rank).alias("lead"))
     pairs = members.join(leader, "band").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
     pairs = pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v")
     tried = C.written(pairs.where(likely(F.col("a"), F.col("b"), HASHES)).select("u", "v").distinct(), "pairs")
