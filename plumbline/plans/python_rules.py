@@ -122,7 +122,7 @@ def no_open_without_with(inputs, options):
 
 
 def public_callables(nodes: DataFrame) -> DataFrame:
-    """Defs that others may call: not nested, no private name or class, no overload; in an __init__ only those of a plain __all__."""
+    """Defs that others may call: not nested, no private name or class, no overload; in an __init__ only those that one plain __all__ lists."""
     defs = nodes.where("type IN ('FunctionDef', 'AsyncFunctionDef') AND NOT nested AND NOT startswith(name, '_') AND NOT startswith(class_name, '_')").where(~F.array_contains("decorators", "overload"))
     stored = nodes.where("type = 'Name' AND name = '__all__' AND field IN ('targets', 'target')").select("file", col("parent").alias("stmt"))
     statements = stored.join(nodes.where("parent = 0 AND type IN ('Assign', 'AnnAssign', 'AugAssign')").select("file", col("node").alias("stmt"), col("type").alias("s_type")), ["file", "stmt"])
@@ -130,8 +130,8 @@ def public_callables(nodes: DataFrame) -> DataFrame:
     lists = nodes.where("field = 'value' AND type IN ('List', 'Tuple')").select("file", col("parent").alias("stmt"), col("node").alias("list"))
     names = nodes.where("field = 'elts'").groupBy("file", col("parent").alias("list")).agg(F.collect_set("text").alias("names"), F.bool_and(F.coalesce(col("kind") == "str", F.lit(False))).alias("plain"))
     exported = counted.where("n = 1 AND NOT grown").join(lists, ["file", "stmt"]).join(names.where("plain"), ["file", "list"]).select("file", "names")
-    out = defs.join(exported, "file", "left").join(counted.select("file", F.lit(True).alias("listed")), "file", "left")
-    in_init = col("file").rlike(r"(?:^|/)__init__\.py$") & F.coalesce("listed", F.lit(False))
+    out = defs.join(exported, "file", "left")
+    in_init = col("file").rlike(r"(?:^|/)__init__\.py$")
     return out.where(~in_init | F.coalesce(F.expr("array_contains(names, name)"), F.lit(False)))
 
 
@@ -293,3 +293,88 @@ def no_network_in_tests(inputs, options):
     hit = last().isin("from_pretrained", "hf_hub_download") | (last() == "load") & F.array_contains("chain", "hub") | (pretrained["kind"] == "bool") & (pretrained["text"] == "True") | by_weights
     found = calls(inputs["python"].where(is_test(col("file")))).where(F.coalesce(hit, F.lit(False)))
     return violations(found, "ml/no-network-in-tests", "Test module downloads weights (pretrained/from_pretrained/hub).", "Build encoders/models with pretrained=False / weights=None in tests; use fixtures or local tiny weights.")
+
+
+def training(nodes: DataFrame) -> DataFrame:
+    """The first node by place, for each file that trains: a backward call or a data loader."""
+    loaders = calls(nodes).where(last() == "DataLoader").select(*nodes.columns)
+    return first_in(loaders.unionByName(methods(nodes, "backward").select(*nodes.columns)), "file")
+
+
+@rule("ml/deterministic-algorithms-opt-in", "python", recommended="off")
+def deterministic_algorithms_opt_in(inputs, options):
+    nodes = sources(inputs)
+    called = calls(nodes).where(last() == "use_deterministic_algorithms").select("file")
+    true = nodes.where("field = 'value' AND kind = 'bool' AND text = 'True'").select("file", "parent")
+    flags = nodes.where(col("field").isin("targets", "target") & (last() == "deterministic") & F.array_contains("chain", "cudnn")).join(true, ["file", "parent"]).select("file")
+    found = training(nodes).join(called.unionByName(flags), "file", "left_anti")
+    return violations(found, "ml/deterministic-algorithms-opt-in", "Training module does not call torch.use_deterministic_algorithms or set cudnn.deterministic.", "Call torch.use_deterministic_algorithms(True) or set cudnn.deterministic.")
+
+
+def module_binds(nodes: DataFrame) -> DataFrame:
+    """file, local, module and imported (null for a whole module) of imports at the top level."""
+    stated = nodes.where("parent = 0 AND type IN ('Import', 'ImportFrom')").where("type = 'Import' OR (text = '0' AND name IS NOT NULL)").select("file", col("node").alias("parent"), col("type").alias("how"), col("name").alias("module"))
+    found = nodes.where("type = 'alias' AND name <> '*'").join(stated, ["file", "parent"])
+    whole = col("how") == "Import"
+    return found.select("file", F.coalesce("text", F.when(whole, F.split("name", r"\.")[0]).otherwise(col("name"))).alias("local"), F.when(whole, col("name")).otherwise(col("module")).alias("module"), F.when(~whole, col("name")).alias("imported"))
+
+
+@rule("ml/require-global-seed", "python")
+def require_global_seed(inputs, options):
+    nodes = sources(inputs)
+    first = training(nodes)
+    binds = module_binds(nodes)
+    of = lambda name: (col("module") == name) | col("module").startswith(f"{name}.")
+    size, seeds = F.size("chain"), calls(nodes).withColumn("local", F.get("chain", F.lit(0))).join(binds, ["file", "local"])
+    seed = last() == "seed"
+    torch = (col("module") == "torch") & (col("imported") == "manual_seed") & (size == 1) | (last() == "manual_seed") & (F.coalesce(F.get("chain", F.lit(1)), F.lit("")) != "cuda") & of("torch") & col("imported").isNull()
+    random = seed & ((col("module") == "random") & (col("imported") == "seed") & (size == 1) | (size == 2) & of("random") & col("imported").isNull())
+    numpy = seed & (col("module").isin("numpy", "numpy.random") & (col("imported") == "seed") & (size == 1) | (size > 1) & ((col("module") == "numpy.random") | (col("imported") == "random") & (col("module") == "numpy") | of("numpy") & F.array_contains("chain", "random")))
+    kind = F.when(F.coalesce(torch, F.lit(False)), "torch.manual_seed").when(F.coalesce(random, F.lit(False)), "random.seed").when(F.coalesce(numpy, F.lit(False)), "np.random.seed")
+    seeds = seeds.withColumn("seed", kind).where("seed IS NOT NULL").dropDuplicates(["file", "node"])
+    seeded = seeds.groupBy("file").agg(F.collect_set("seed").alias("seeded"))
+    needed = binds.groupBy("file").agg(F.bool_or(of("random")).alias("random"), F.bool_or(of("numpy")).alias("numpy"))
+    none = F.lit(None).cast("string")
+    required = F.array_compact(F.array(F.lit("torch.manual_seed"), F.when(col("random"), "random.seed").otherwise(none), F.when(col("numpy"), "np.random.seed").otherwise(none)))
+    state = first.join(needed, "file", "left").join(seeded, "file", "left").withColumn("missing", F.array_except(required, F.coalesce("seeded", F.array().cast("array<string>"))))
+    hint = "Call torch.manual_seed (and random.seed / np.random.seed as needed) before loaders/model init."
+    short = violations(state.where(F.size("missing") > 0), "ml/require-global-seed", F.concat(F.lit("Training module is missing "), F.array_join("missing", ", "), F.lit(" before DataLoader or model init.")), hint)
+    # What consumes randomness first: a loader, or where there is none a torch.nn construction.
+    uses = calls(nodes).select("file", F.when(last() == "DataLoader", 0).when((size > 1) & (F.get("chain", F.greatest(size - 2, F.lit(0))) == "nn"), 1).alias("rank"), F.struct("line", "col").alias("at")).where("rank IS NOT NULL")
+    consumer = uses.groupBy("file").agg(F.min(F.struct("rank", "at")).alias("use")).select("file", col("use.at").alias("at"))
+    late = seeds.join(state.where(F.size("missing") == 0).select("file"), "file", "left_semi").join(consumer, "file").where(F.struct("line", "col") >= col("at"))
+    w = Window.partitionBy("file").orderBy("node")
+    late = late.withColumn("_k", F.row_number().over(w)).where("_k = 1")
+    return short.unionByName(violations(late, "ml/require-global-seed", "Seed calls appear after the first DataLoader or torch.nn construction.", hint))
+
+
+#: Names that recurrent layers go by.
+RECURRENT = ("rnn", "lstm", "gru")
+
+
+@rule("ml/pack-padded-sequence-before-rnn", "python")
+def pack_padded_sequence_before_rnn(inputs, options):
+    body = in_functions(sources(inputs))
+    lower = F.transform("chain", F.lower)
+    is_rnn = F.coalesce(F.lower(last()).isin(*RECURRENT) | (F.lower(last()) == "forward") & F.arrays_overlap(lower, F.array(*[F.lit(x) for x in RECURRENT])), F.lit(False))
+    at = F.struct("line", "col")
+    packs = calls(body).where(last().isin("pack_padded_sequence", "pack_sequence")).groupBy("file", "scope").agg(F.min(at).alias("packed"))
+    rnns = calls(body).where(is_rnn).join(packs, ["file", "scope"], "left").where(col("packed").isNull() | (at <= col("packed")))
+    ones = body.where("field = 'slice' AND kind = 'int' AND text = '1'").select("file", "parent")
+    indexed = body.where("type = 'Subscript'").select("file", "scope", col("node").alias("parent"), at.alias("used")).join(ones, ["file", "parent"])
+    direct = rnns.where("field = 'value'").join(indexed.select("file", "parent"), ["file", "parent"], "left_semi").select("file", "node")
+    # The value of an assignment: its name indexed by one later, or the names of its second target read later.
+    stored = rnns.where("field = 'value'").join(body.where("type IN ('Assign', 'AnnAssign')").select("file", col("node").alias("parent"), at.alias("stored")), ["file", "parent"]).select("file", "scope", "node", col("parent").alias("stmt"), "stored")
+    targets = body.where("field IN ('targets', 'target')").select("file", col("parent").alias("stmt"), col("node").alias("target"), col("type").alias("t_type"), col("name").alias("t_name"))
+    aimed = stored.join(targets, ["file", "stmt"])
+    by_name = body.where("field = 'value' AND type = 'Name'").select("file", "scope", "parent", col("name").alias("t_name")).join(indexed, ["file", "scope", "parent"])
+    by_index = aimed.where("t_type = 'Name'").join(by_name, ["file", "scope", "t_name"]).where("stored < used").select("file", "node")
+    second = body.where("field = 'elts' AND ordinal = 1").select("file", col("parent").alias("target"), col("node").alias("inner"), col("type").alias("i_type"), col("name").alias("i_name"))
+    pairs = aimed.where("t_type = 'Tuple'").join(second, ["file", "target"])
+    inside = body.where("field = 'elts' AND type = 'Name'").select("file", col("parent").alias("inner"), col("name").alias("hidden"))
+    names = pairs.where("i_type = 'Name'").select("file", "scope", "node", "stored", col("i_name").alias("hidden")).unionByName(pairs.where("i_type = 'Tuple'").join(inside, ["file", "inner"]).select("file", "scope", "node", "stored", "hidden")).where("hidden <> '_'")
+    written = body.where("type = 'Name' AND field IN ('targets', 'target')").select("file", "node")
+    reads = body.where("type = 'Name'").join(written, ["file", "node"], "left_anti").select("file", "scope", col("name").alias("hidden"), at.alias("used"))
+    by_unpack = names.join(reads, ["file", "scope", "hidden"]).where("stored < used").select("file", "node")
+    found = rnns.join(direct.unionByName(by_index).unionByName(by_unpack).distinct(), ["file", "node"], "left_semi")
+    return violations(found, "ml/pack-padded-sequence-before-rnn", "RNN/LSTM/GRU consumes h_n from a padded sequence without pack_padded_sequence.", "Call pack_padded_sequence (or pack_sequence) before the RNN when consuming h_n.")

@@ -48,6 +48,13 @@ CASES = {
     "ml/no-cuda-hardcoded": ("x.cuda()\ny = x.to('cuda:0')\nz = torch.zeros(1, device='cuda')\nd = torch.device('cuda')\n", [1, 2, 3, 4], "x.to(device)\nx.to('cpu')\nf('cuda')\nx.to('cuda0')\n"),
     "ml/dataloader-worker-seeding": ("DataLoader(d, num_workers=4)\ntorch.utils.data.DataLoader(d, num_workers=1)\n", [1, 2], "DataLoader(d, num_workers=0)\nDataLoader(d, num_workers=n)\nDataLoader(d, num_workers=2, generator=g)\nDataLoader(d)\n"),
     "ml/tensor-to-device-result-ignored": ("x.to(d)\nx.half()\nbatch.x.cuda()\n", [1, 2, 3], "x = x.to(d)\nmodel.to(d)\nself.cuda()\nx.to()\n"),
+    "ml/deterministic-algorithms-opt-in": ("x = 1\nfor b in DataLoader(d):\n    loss.backward()\n", [2], "torch.backends.cudnn.deterministic = True\nloss.backward()\n"),
+    "ml/require-global-seed": ("import numpy as np\nimport torch\nnp.random.seed(1)\nDataLoader(d)\n", [4], "import random\nimport torch\nfrom numpy import random as nr\nrandom.seed(1)\nnr.seed(1)\ntorch.manual_seed(1)\nDataLoader(d)\n"),
+    "ml/pack-padded-sequence-before-rnn": (
+        "def f(x):\n    out, (h, c) = self.lstm(x)\n    return h\ndef g(x):\n    r = gru(x)\n    return r[1]\ndef k(x):\n    return self.rnn(x)[1]\n",
+        [2, 5, 8],
+        "def f(x):\n    p = pack_padded_sequence(x)\n    out, h = self.lstm(p)\n    return h\ndef g(x):\n    out, _ = gru(x)\n    return out\ndef k(x):\n    r = gru(x)\n    return r[0]\n",
+    ),
     "ml/tf32-must-be-explicit": ("y = x.to(torch.device('cuda'))\nz = x.cuda()\ntorch.backends.cuda.matmul.allow_tf32 = True\n", [1], "torch.backends.cuda.matmul.allow_tf32 = True\ntorch.backends.cudnn.allow_tf32 = False\nx.cuda()\n"),
 }
 
@@ -66,6 +73,12 @@ def test_rule(spark, rule_id):
     assert all(r.severity == "warn" and r.rule_id == rule_id and r.message and r.suggestion for r in rows)
 
 
+def test_late_seeds(spark):
+    text = "import torch\nmodel = torch.nn.Linear(1, 1)\ntorch.manual_seed(1)\nloss.backward()\n"
+    rows = run(spark, "ml/require-global-seed", ("a.py", text)).collect()
+    assert [(r.start_line, r.message) for r in rows] == [(3, "Seed calls appear after the first DataLoader or torch.nn construction.")]
+
+
 def test_network_in_tests(spark):
     bad = "m = resnet(pretrained=True)\nM.from_pretrained('x')\ntorch.hub.load('x')\nm = resnet(weights=W.DEFAULT)\nm = resnet(weights='x')\n"
     good = "m = resnet(pretrained=False)\nm = resnet(weights=None)\njson.load(f)\n"
@@ -77,7 +90,7 @@ def test_init_lists_public_names(spark):
     text = "def f(a):\n    pass\ndef g(a):\n    pass\n"
     files = [("a/__init__.py", "__all__ = ['f']\n" + text), ("b/__init__.py", text), ("c/__init__.py", "__all__ = ['f']\n__all__ += ['g']\n" + text)]
     rows = run(spark, "python/require-typed-public", *files).collect()
-    assert [(r.file, r.start_line, r.start_col, r.end_col) for r in rows] == [("a/__init__.py", 2, 5, 6), ("b/__init__.py", 1, 5, 6), ("b/__init__.py", 3, 5, 6)]
+    assert [(r.file, r.start_line, r.start_col, r.end_col) for r in rows] == [("a/__init__.py", 2, 5, 6)]
 
 
 def test_report_and_status(spark):
