@@ -16,7 +16,7 @@ QUERIES = {
     "op9_suffixes": suffixes.op9_suffixes,
     "op10_neighbours": neighbours.op10_neighbours,
 }
-ORACLE_SQL = {"op2_warc_round_trip": warc.SQL, "op4_minhash": minhash.SQL, "op5_substrings": substrings.SQL, "op8_decontaminate": decontaminate.SQL}
+ORACLE_SQL = {"op2_warc_round_trip": warc.SQL, "op4_minhash": minhash.SQL, "op5_substrings": substrings.SQL, "op8_decontaminate": decontaminate.SQL, "op9_suffixes": suffixes.SQL}
 
 
 def queries() -> dict:

@@ -196,21 +196,13 @@ def _key(anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (anchor << C.U64(32)) | (content >> C.U64(32)), content.astype(np.uint32)
 
 
-def _bucket(anchor: np.ndarray, n: int) -> np.ndarray:
-    return ((anchor >> C.U64(32)) % C.U64(n)).astype(np.int32)
-
-
-def chunks(offsets: np.ndarray):
-    yield from C.blocks(offsets, CHUNK_BYTES)
-
-
 def find_runs(docs: DataFrame, kind: Kind, n: int) -> DataFrame:
     """Step 2, map side: docs(doc_id, print, text) as SHUFFLED rows."""
 
     def make(batch):
         data, offsets = C.column_bytes(batch.column("text"))
         ids, prints = (np.asarray(batch.column(k)) for k in ("doc_id", "print"))
-        for a, b in chunks(offsets):
+        for a, b in C.blocks(offsets, CHUNK_BYTES):
             found = []
             for x, y in C.blocks(offsets[a : b + 1] - offsets[a]):
                 piece = offsets[a + x : a + y + 1]

@@ -108,3 +108,15 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op9_suffixes(spark, sf_dir: str) -> DataFrame:
     return without_matches(C.table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, n, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN i + 50 <= n THEN substr(h, 2 * i + 1, 100) END AS g FROM d, unnest(range(0, n)) AS u(i)),
+f AS (SELECT g, min(doc_id) AS first FROM p WHERE g IS NOT NULL GROUP BY g),
+s AS (SELECT doc_id, i, b, coalesce(first < doc_id, false) AS again FROM p LEFT JOIN f USING (g)),
+c AS (SELECT doc_id, i, b, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM s),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""

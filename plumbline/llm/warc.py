@@ -18,7 +18,6 @@ of any length is one frame. An empty table gives no archive and no row. Extra co
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import uuid
 from collections.abc import Iterator
