@@ -378,3 +378,39 @@ def pack_padded_sequence_before_rnn(inputs, options):
     by_unpack = names.join(reads, ["file", "scope", "hidden"]).where("stored < used").select("file", "node")
     found = rnns.join(direct.unionByName(by_index).unionByName(by_unpack).distinct(), ["file", "node"], "left_semi")
     return violations(found, "ml/pack-padded-sequence-before-rnn", "RNN/LSTM/GRU consumes h_n from a padded sequence without pack_padded_sequence.", "Call pack_padded_sequence (or pack_sequence) before the RNN when consuming h_n.")
+
+
+#: Contexts and decorators that switch gradients off.
+GUARDS = ("no_grad", "inference_mode")
+
+
+@rule("ml/inference-mode-required", "python")
+def inference_mode_required(inputs, options):
+    nodes = sources(inputs)
+    defs = nodes.where("type IN ('FunctionDef', 'AsyncFunctionDef')").select("file", col("node").alias("scope"), col("post").alias("d_post"), F.arrays_overlap("decorators", F.array(*[F.lit(g) for g in GUARDS])).alias("decorated"))
+    backward = methods(nodes, "backward").select("file", col("node").alias("b"))
+    trains = defs.join(backward, "file").where("scope < b AND b <= d_post").select("file", "scope").distinct()
+    own = in_functions(nodes).join(trains, ["file", "scope"], "left_anti")
+    lambdas = own.where("type = 'Lambda'").select("file", "scope", col("node").alias("l"), col("post").alias("l_post"))
+    inside = calls(own).select("file", "scope", "node").join(lambdas, ["file", "scope"]).where("l < node AND node <= l_post").select("file", "node").distinct()
+    called = calls(own).join(inside, ["file", "node"], "left_anti")
+    size = F.size("chain")
+    pair = (size == 2) & (F.get("chain", F.lit(0)) == "self") & F.get("chain", F.lit(1)).isin("model", "policy", "net")
+    traced = F.arrays_overlap("chain", F.array(F.lit("jit"), F.lit("trace"), F.lit("script")))
+    forward = called.where(F.coalesce((last() == "forward") | (size == 1) & (last() == "model") & (F.get("chain", F.lit(0)) == "model") | pair, F.lit(False)) & ~traced)
+    evals = called.where(last() == "eval").groupBy("file", "scope").agg(F.min(F.struct("line", "col")).alias("first_eval"))
+    # A with statement guards its body, not its items; the innermost one that says anything counts.
+    items = own.where("type = 'withitem'").select("file", col("node").alias("item"), "parent", "ordinal", "post")
+    said = own.where("field = 'context_expr'").select("file", col("parent").alias("item"), F.when(last().isin(*GUARDS), True).when(last() == "enable_grad", False).alias("on"))
+    told = items.join(said, ["file", "item"]).groupBy("file", col("parent").alias("w")).agg(F.max("post").alias("after"), F.max_by("on", F.when(col("on").isNotNull(), col("ordinal"))).alias("on")).where("on IS NOT NULL")
+    withs = own.where("type IN ('With', 'AsyncWith')").select("file", "scope", col("node").alias("w"), col("post").alias("w_post")).join(told, ["file", "w"])
+    guard = forward.select("file", "scope", "node").join(withs, ["file", "scope"]).where("after < node AND node <= w_post").groupBy("file", "node").agg(F.max_by("on", "w").alias("on"))
+    losses = own.where("field IN ('targets', 'target') AND type = 'Name' AND name = 'loss'").select("file", "parent").distinct()
+    values = own.where("field = 'value'").join(losses, ["file", "parent"]).select("file", "scope", col("node").alias("v"), col("post").alias("v_post"))
+    in_loss = forward.select("file", "scope", "node").join(values, ["file", "scope"]).where("v <= node AND node <= v_post").select("file", "node").distinct()
+    state = forward.join(in_loss, ["file", "node"], "left_anti").join(guard, ["file", "node"], "left").join(evals, ["file", "scope"], "left").join(defs.select("file", "scope", "decorated"), ["file", "scope"])
+    guarded = F.coalesce("on", "decorated")
+    evaluated = F.coalesce(col("first_eval") < F.struct("line", "col"), F.lit(False))
+    none = F.lit(None).cast("string")
+    missing = F.array_join(F.array_compact(F.array(F.when(~guarded, "torch.inference_mode()/no_grad").otherwise(none), F.when(~evaluated, "model.eval()").otherwise(none))), " and ")
+    return violations(state.withColumn("missing", missing).where("missing <> ''"), "ml/inference-mode-required", F.concat(F.lit("Inference forward is missing "), "missing", F.lit(".")), "Wrap inference forwards in torch.inference_mode() (or no_grad) and call model.eval() before serve/predict.")

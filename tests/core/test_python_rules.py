@@ -55,6 +55,11 @@ CASES = {
         [2, 5, 8],
         "def f(x):\n    p = pack_padded_sequence(x)\n    out, h = self.lstm(p)\n    return h\ndef g(x):\n    out, _ = gru(x)\n    return out\ndef k(x):\n    r = gru(x)\n    return r[0]\n",
     ),
+    "ml/inference-mode-required": (
+        "def f(x):\n    return model(x)\ndef g(x):\n    model.eval()\n    with torch.no_grad(), torch.enable_grad():\n        return self.net(x)\ndef h(x):\n    with no_grad():\n        y = model.forward(x)\n    model.eval()\n",
+        [2, 6, 9],
+        "def f(x):\n    model.eval()\n    with torch.inference_mode():\n        with open(p) as f:\n            return model(x)\n@torch.no_grad()\ndef g(x):\n    net.eval()\n    return net.forward(x)\ndef t(x):\n    loss = model(x)\n    loss2 = (lambda z: model(z))\ndef b(x):\n    model(x)\n    z.backward()\ndef j(x):\n    torch.jit.trace.forward(x)\n",
+    ),
     "ml/tf32-must-be-explicit": ("y = x.to(torch.device('cuda'))\nz = x.cuda()\ntorch.backends.cuda.matmul.allow_tf32 = True\n", [1], "torch.backends.cuda.matmul.allow_tf32 = True\ntorch.backends.cudnn.allow_tf32 = False\nx.cuda()\n"),
 }
 
