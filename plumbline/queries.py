@@ -283,3 +283,60 @@ def overlap_suppression(spark, sf):
     found = D.window_clones(table(spark, sf, "documents"), "doc_id", 3, 2)
     rows = found.select(F.col("doc_id").alias("file"), F.when(F.col("members") >= 4, "F").otherwise("W").alias("arm"), F.col("line").alias("start_line"), F.lit(1).alias("start_col"), (F.col("line") + F.col("members") % 5).cast("int").alias("end_line"))
     return D.without_overlaps(rows)
+
+
+@query(
+    "WITH c AS (SELECT p_brand AS package_dir, p_type AS file, p_name AS name, min(p_size) AS value FROM part GROUP BY ALL HAVING count(*) = 1), r AS (SELECT *, row_number() OVER w AS k, first_value(file) OVER w AS canonical, first_value(value) OVER w AS c_value FROM c WINDOW w AS (PARTITION BY package_dir, name ORDER BY file)) SELECT package_dir, file, name, canonical, value <> c_value AS disagrees FROM r WHERE k > 1 AND NOT (length(name) % 2 = 0 AND file LIKE 'PROMO%')"
+)
+def exact_arm(spark, sf):
+    """Names defined once in a file and again in another file of the package; some files import the canonical one and are silent."""
+    cards = table(spark, sf, "part").groupBy(F.col("p_brand").alias("package_dir"), F.col("p_type").alias("file"), F.col("p_name").alias("name")).agg(F.count("*").alias("n"), F.min("p_size").alias("value")).where("n = 1")
+    first = cards.groupBy("package_dir", "name").agg(F.min(F.struct("file", "value")).alias("c"))
+    extra = cards.join(first, ["package_dir", "name"]).where(F.col("file") != F.col("c.file"))
+    imports = cards.where("length(name) % 2 = 0 AND file LIKE 'PROMO%'").select("package_dir", "file", "name")
+    silent = extra.join(imports, ["package_dir", "file", "name"], "left_anti")
+    return silent.select("package_dir", "file", "name", F.col("c.file").alias("canonical"), (F.col("value") != F.col("c.value")).alias("disagrees"))
+
+
+@query(
+    "WITH f AS (SELECT DISTINCT regexp_extract(url, '^https?://([^?#]*)', 1) AS file FROM pages), r AS (SELECT DISTINCT regexp_replace(file, '/?[^/]*$', '') AS package_dir FROM f WHERE length(file) % 3 = 0) SELECT file, coalesce(arg_max(package_dir, length(package_dir)), '') AS package_dir FROM f LEFT JOIN r ON package_dir = '' OR starts_with(file, package_dir || '/') GROUP BY file"
+)
+def package_root(spark, sf):
+    """The nearest folder above each path that holds a project file."""
+    from .sources.python_ast import package_roots
+
+    paths = table(spark, sf, "pages").select(F.regexp_extract("url", "^https?://([^?#]*)", 1).alias("path")).distinct()
+    return package_roots(paths, paths.where("length(path) % 3 = 0"))
+
+
+@query("SELECT 'pkg/nation_' || c_nationkey || '.py' AS file, count(*) AS n_defs, count(*) FILTER (c_acctbal < 0) AS n_untyped, count(*) FILTER (c_acctbal >= 9000) AS n_mutable FROM customer GROUP BY c_nationkey")
+def python_scan(spark, sf):
+    """Python files made of rows, parsed, and checked by two rules through the engine."""
+    from .plans import engine, python_rules  # noqa: F401
+    from .sources.python_ast import python_nodes
+
+    default = F.when(F.col("c_acctbal") >= 9000, " = []").otherwise("")
+    line = F.concat(F.lit("def f_"), F.col("c_custkey").cast("string"), F.when(F.col("c_acctbal") < 0, "(a").otherwise("(a: int"), default, F.lit(") -> int:\n    return a\n"))
+    files = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_join(F.collect_list(line), "").alias("text")).select(F.concat(F.lit("pkg/nation_"), F.col("c_nationkey").cast("string"), F.lit(".py")).alias("path"), "text")
+    nodes = python_nodes(files)
+    rules = ("python/require-typed-public", "python/no-mutable-default")
+    found = engine.check(spark, {r: ("error", {}) for r in rules}, engine.Inputs({"python": lambda _: nodes}))
+    defs = nodes.where("type = 'FunctionDef'").groupBy("file").agg(F.count("*").alias("n_defs"))
+    by_rule = found.groupBy("file").agg(*[F.count_if(F.col("rule_id") == r).alias(n) for r, n in zip(rules, ("n_untyped", "n_mutable"), strict=True)])
+    return defs.join(by_rule, "file", "left").select("file", "n_defs", F.coalesce("n_untyped", F.lit(0)).alias("n_untyped"), F.coalesce("n_mutable", F.lit(0)).alias("n_mutable"))
+
+
+@query("SELECT 'src/nation_' || s_nationkey || '.ts' AS file, count(*) FILTER (s_acctbal < 0) AS n_empty, count(*) FILTER (s_acctbal >= 5000) AS n_bang FROM supplier GROUP BY s_nationkey")
+def typescript_scan(spark, sf):
+    """TypeScript files made of rows, cut into tokens, and checked by two rules through the engine."""
+    from .plans import engine, typescript_rules  # noqa: F401
+    from .sources.typescript import typescript_tokens
+
+    body = F.when(F.col("s_acctbal") < 0, "{ /* none */ }").when(F.col("s_acctbal") >= 5000, "{ g(e!) }").otherwise("{ g(`e!`) }")
+    line = F.concat(F.lit("try { f() } catch (e) "), body, F.lit("\n"))
+    files = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(line), "").alias("text")).select(F.concat(F.lit("src/nation_"), F.col("s_nationkey").cast("string"), F.lit(".ts")).alias("path"), "text")
+    tokens = typescript_tokens(files)
+    rules = ("ts/no-empty-catch", "ts/no-non-null-assertion")
+    found = engine.check(spark, {r: ("error", {}) for r in rules}, engine.Inputs({"typescript": lambda _: tokens}))
+    by_rule = found.groupBy("file").agg(*[F.count_if(F.col("rule_id") == r).alias(n) for r, n in zip(rules, ("n_empty", "n_bang"), strict=True)])
+    return files.select(F.col("path").alias("file")).join(by_rule, "file", "left").select("file", F.coalesce("n_empty", F.lit(0)).alias("n_empty"), F.coalesce("n_bang", F.lit(0)).alias("n_bang"))

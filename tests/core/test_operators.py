@@ -155,3 +155,11 @@ def test_stream_checks_what_a_change_reaches(spark, tmp_path):
     spark.createDataFrame([("a", "new a")], changes.FILES).write.parquet(folder)
     changes.check_stream(changes.changed(spark, folder), workspace, edges, lambda f: f, out, str(tmp_path / "state")).awaitTermination(120)
     assert sorted((r.path, r.text) for r in spark.read.parquet(out).collect()) == [("a", "new a"), ("b", "old b")]
+
+
+def test_diagnostics_and_documents(spark, tmp_path):
+    row = {"code": "E1", "filename": "a.py", "message": "m", "location": {"row": 3, "column": 4}}
+    lines = spark.createDataFrame([(json.dumps(row),), ("{",), ("{}",)], "json string")
+    assert [tuple(r) for r in files.diagnostics(lines).collect()] == [("E1", "a.py", 3, 4, "m")]
+    (tmp_path / "a.md").write_text("x\ny")
+    assert [r.text for r in files.documents(spark, [str(tmp_path / "a.md")]).collect()] == ["x\ny"]
