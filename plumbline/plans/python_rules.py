@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import violations
+from ..sources.python_ast import bindings, module_bindings
 from .engine import rule
 
 CUDA = r"^cuda(:[0-9]+)?\z"
+INIT = r"(?:^|/)__init__\.py$"
 
 
 def col(name: str) -> Column:
@@ -121,18 +123,54 @@ def no_open_without_with(inputs, options):
     return violations(found.where("p_type = 'Expr' OR (p_type IN ('Assign', 'AnnAssign') AND named)"), "python/no-open-without-with", "open(...) is not used as a with / async with context manager.", "Use with open(...) as …: (or pathlib.Path.open in with).")
 
 
-def public_callables(nodes: DataFrame) -> DataFrame:
-    """Defs that others may call: not nested, no private name or class, no overload; in an __init__ only those that one plain __all__ lists."""
-    defs = nodes.where("type IN ('FunctionDef', 'AsyncFunctionDef') AND NOT nested AND NOT startswith(name, '_') AND NOT startswith(class_name, '_')").where(~F.array_contains("decorators", "overload"))
+def listed_names(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The string nodes of each file's one plain __all__, and the files that have any __all__ at all."""
     stored = nodes.where("type = 'Name' AND name = '__all__' AND field IN ('targets', 'target')").select("file", col("parent").alias("stmt"))
     statements = stored.join(nodes.where("parent = 0 AND type IN ('Assign', 'AnnAssign', 'AugAssign')").select("file", col("node").alias("stmt"), col("type").alias("s_type")), ["file", "stmt"])
     counted = statements.groupBy("file").agg(F.count("*").alias("n"), F.bool_or(col("s_type") == "AugAssign").alias("grown"), F.first("stmt").alias("stmt"))
     lists = nodes.where("field = 'value' AND type IN ('List', 'Tuple')").select("file", col("parent").alias("stmt"), col("node").alias("list"))
-    names = nodes.where("field = 'elts'").groupBy("file", col("parent").alias("list")).agg(F.collect_set("text").alias("names"), F.bool_and(F.coalesce(col("kind") == "str", F.lit(False))).alias("plain"))
-    exported = counted.where("n = 1 AND NOT grown").join(lists, ["file", "stmt"]).join(names.where("plain"), ["file", "list"]).select("file", "names")
-    out = defs.join(exported, "file", "left")
-    in_init = col("file").rlike(r"(?:^|/)__init__\.py$")
-    return out.where(~in_init | F.coalesce(F.expr("array_contains(names, name)"), F.lit(False)))
+    items = nodes.where("field = 'elts'").withColumnRenamed("parent", "list")
+    plain = items.groupBy("file", "list").agg(F.bool_and(F.coalesce(col("kind") == "str", F.lit(False))).alias("plain")).where("plain").select("file", "list")
+    good = counted.where("n = 1 AND NOT grown").join(lists, ["file", "stmt"]).join(plain, ["file", "list"]).select("file", "list")
+    return items.join(good, ["file", "list"], "left_semi"), counted.select("file")
+
+
+def public_callables(nodes: DataFrame) -> DataFrame:
+    """Defs that others may call: not nested, no private name or class, no overload; in an __init__ only those that one plain __all__ lists."""
+    defs = nodes.where("type IN ('FunctionDef', 'AsyncFunctionDef') AND NOT nested AND NOT startswith(name, '_') AND NOT startswith(class_name, '_')").where(~F.array_contains("decorators", "overload"))
+    names = listed_names(nodes)[0].groupBy("file").agg(F.collect_set("text").alias("names"))
+    in_init = col("file").rlike(INIT)
+    return defs.join(names, "file", "left").where(~in_init | F.coalesce(F.expr("array_contains(names, name)"), F.lit(False)))
+
+
+@rule("python/public-exports-tested", "python", "packages")
+def public_exports_tested(inputs, options):
+    """Public names of an __init__ that no test refers to, neither by that name nor by the one it was imported from."""
+    nodes, packages = inputs["python"], inputs["packages"]
+    inits = sources(inputs).where(col("file").rlike(INIT))
+    listed, stated = listed_names(inits)
+    place = ("line", "col", "end_line", "end_col")
+    top = inits.where("parent = 0").select("file", col("node").alias("parent"), col("type").alias("p_type"))
+    reexported = inits.where("type = 'alias' AND name <> '*'").join(top.where("p_type = 'ImportFrom'"), ["file", "parent"]).select("file", F.coalesce("text", "name").alias("export"), *place)
+    single = inits.where("field = 'targets'").groupBy("file", "parent").agg(F.count("*").alias("n")).where("n = 1").select("file", "parent")
+    assigned = inits.where("field = 'targets' AND type = 'Name'").join(top.where("p_type = 'Assign'"), ["file", "parent"]).join(single, ["file", "parent"])
+    source = inits.where("field = 'value' AND type = 'Name'").select("file", "parent", col("name").alias("source"))
+    aliased = assigned.join(source, ["file", "parent"]).select("file", col("name").alias("export"), "source", *place)
+    free = reexported.unionByName(aliased.drop("source")).join(stated, "file", "left_anti")
+    public = listed.select("file", col("text").alias("export"), *place).unionByName(free).where("NOT startswith(export, '_')")
+    tests = nodes.where(is_test(col("file")))
+    named = bindings(nodes, packages)
+    in_tests = tests.select("file").distinct()
+    direct = named.join(in_tests, "file", "left_semi").select(col("target_file").alias("t_file"), col("target_name").alias("t_name"))
+    attributes = tests.where("type = 'Attribute' AND size(chain) = 2").select("file", col("chain")[0].alias("local"), col("name").alias("t_name"))
+    by_module = attributes.join(module_bindings(nodes, packages), ["file", "local"]).select(col("target_file").alias("t_file"), "t_name")
+    tested = direct.unionByName(by_module).distinct()
+    origin = named.select("file", col("local").alias("export"), col("target_file").alias("o_file"), col("target_name").alias("o_name"))
+    through = aliased.select("file", "export", "source").join(named.withColumnRenamed("local", "source"), ["file", "source"]).select("file", "export", col("target_file").alias("o_file"), col("target_name").alias("o_name"))
+    by_name = tested.select(col("t_file").alias("file"), col("t_name").alias("export"))
+    by_origin = origin.unionByName(through).join(tested, (col("o_file") == col("t_file")) & (col("o_name") == col("t_name"))).select("file", "export")
+    found = public.join(by_name.unionByName(by_origin).distinct(), ["file", "export"], "left_anti")
+    return violations(found, "python/public-exports-tested", F.concat(F.lit('Public export "'), "export", F.lit('" is not referenced from a test.')), F.concat(F.lit('Add a test import of "'), "export", F.lit('", or stop exporting it.')))
 
 
 def at_name(rows: DataFrame) -> DataFrame:

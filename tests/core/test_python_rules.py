@@ -5,7 +5,7 @@ import pytest
 from plumbline.model import exit_status
 from plumbline.plans import engine, python_rules  # noqa: F401
 from plumbline.sources.files import report_lines
-from plumbline.sources.python_ast import python_nodes
+from plumbline.sources.python_ast import package_roots, python_nodes
 
 CASES = {
     "python/no-bare-except": (
@@ -98,6 +98,21 @@ def test_init_lists_public_names(spark):
     assert [(r.file, r.start_line, r.start_col, r.end_col) for r in rows] == [("a/__init__.py", 2, 5, 6)]
 
 
+def test_exports_need_tests(spark):
+    files = {
+        "pkg/__init__.py": "from .a import f, g as renamed\nfrom .b import h\n_hidden = h\nalias = h\nother = unknown\n",
+        "pkg/listed/__init__.py": "from ..a import f, g\n__all__ = ['f', 'g', '_x']\n",
+        "pkg/loud/__init__.py": "__all__ = ['z']\n__all__ += ['y']\n",
+        "pkg/a.py": "def f():\n    pass\ndef g():\n    pass\n",
+        "pkg/b.py": "def h():\n    pass\n",
+        "tests/test_x.py": "from pkg.a import f\nimport pkg.b as b\nb.h()\n",
+    }
+    known = spark.createDataFrame(list(files.items()), "path string, text string")
+    nodes, packages = python_nodes(known), package_roots(known, known.limit(0))
+    rows = engine.check(spark, {"python/public-exports-tested": ("error", {})}, engine.Inputs({"python": lambda _: nodes, "packages": lambda _: packages})).collect()
+    assert [(r.file, r.start_line, r.message.split('"')[1]) for r in rows] == [("pkg/__init__.py", 1, "renamed"), ("pkg/__init__.py", 5, "other"), ("pkg/listed/__init__.py", 2, "g")]
+
+
 def test_report_and_status(spark):
     rows = run(spark, "python/no-bare-except", ("a.py", CASES["python/no-bare-except"][0]))
     assert exit_status(rows) == 1 and exit_status(rows.limit(0)) == 0
