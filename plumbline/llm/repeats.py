@@ -12,8 +12,8 @@ A window is `length` successive tokens of one document. Which windows stand earl
 4. What was found joins the texts by document, as packed rows in buckets of documents.
 
 Every text crosses the network twice at most; what is held in memory is a task's share of runs, or the findings
-of one bucket of documents. Buckets are BUCKETS_EACH times spark.sql.shuffle.partitions, so more partitions
-mean smaller shares. Hashes have 64 bits.
+of one bucket of documents. There are as many buckets as spark.sql.shuffle.partitions, each a task of its own, so
+more partitions mean smaller shares. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CHUNK_BYTES = 8 << 20
-BUCKETS_EACH = 4
+#: Entries found to repeat that a task gathers before it packs them.
+GATHER = 1 << 18
 HOT = 32
 #: Longest run of windows kept as one; a longer one is cut at this distance from its start.
 LONGEST = 1 << 15
@@ -249,6 +250,13 @@ def settle(shuffled: DataFrame, kind: Kind, n: int, windows: bool) -> DataFrame:
 
     def run(batches):
         index = kind.index(kind.by_place)
+        found: list[list[np.ndarray]] = []
+
+        def packed_facts():
+            out = facts_of(DUP, n, *(np.concatenate(c) for c in list(zip(*found, strict=True))[2:])) if found else []
+            found.clear()
+            return [row_batch(out)] if out else []
+
         for batch in batches:
             sort, payload = batch.column("kind").to_pylist(), batch.column("payload")
             if passed := [k for k, x in enumerate(sort) if x != RUNS]:
@@ -256,13 +264,12 @@ def settle(shuffled: DataFrame, kind: Kind, n: int, windows: bool) -> DataFrame:
             for k, x in enumerate(sort):
                 if x == RUNS:
                     doc, mark, key, low, start, size = unpacked(payload[k].as_buffer(), ENTRY)
-                    for again in index.add([key, low, doc, mark, start, size]):
-                        if out := facts_of(DUP, n, *again[2:]):
-                            yield row_batch(out)
+                    found += index.add([key, low, doc, mark, start, size])
+            if sum(len(f[0]) for f in found) > GATHER:
+                yield from packed_facts()
         first, repeats = index.close()
-        for again in repeats:
-            if out := facts_of(DUP, n, *again[2:]):
-                yield row_batch(out)
+        found += repeats
+        yield from packed_facts()
         if first is not None and len(first[0]) and not windows:
             key, low, doc, mark, start, size = first
             head = np.flatnonzero(np.r_[True, (key[1:] >> C.U64(32)) != (key[:-1] >> C.U64(32))])
@@ -282,11 +289,11 @@ def _is_head(head: np.ndarray, n: int, size: np.ndarray) -> np.ndarray:
     return out & (size > 0)
 
 
-def with_facts(facts: DataFrame, docs: DataFrame, n: int, partitions: int) -> DataFrame:
+def with_facts(facts: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Findings and texts together by bucket of documents, findings first."""
     left = facts.select("p", "kind", "payload", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("print"), F.lit(None).cast("string").alias("text"))
     right = docs.select(F.pmod(F.col("doc_id").bitwiseXOR(F.col("print")), F.lit(n)).cast("int").alias("p"), F.lit(TEXT).alias("kind"), F.lit(None).cast("binary").alias("payload"), "doc_id", "print", "text", *[c for c in docs.columns if c not in ("doc_id", "print", "text")])
-    return left.unionByName(right, allowMissingColumns=True).repartition(partitions, "p").sortWithinPartitions("p", "kind")
+    return left.unionByName(right, allowMissingColumns=True).repartitionById(n, "p").sortWithinPartitions("p", "kind")
 
 
 def by_bucket(batches):
@@ -347,18 +354,17 @@ def _sent(held: list[list[np.ndarray]], kind: Kind, n: int) -> list[tuple[int, i
     return facts_of(DUP, n, *again[2:]) + dealt((key % C.U64(n)).astype(np.int32), RUNS, ids, prints, number, [key, low, start.astype(np.uint32), size.astype(np.uint32)])
 
 
-def repeated(docs: DataFrame, kind: Kind) -> tuple[DataFrame, int, int]:
-    """(findings about docs(doc_id, print, text), number of buckets, of partitions): spans of windows that stand earlier."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = partitions * BUCKETS_EACH
+def repeated(docs: DataFrame, kind: Kind) -> tuple[DataFrame, int]:
+    """(findings about docs(doc_id, print, text), number of buckets): spans of windows that stand earlier."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select("doc_id", "print", "text")
-    facts = C.written(settle(find_runs(plain, kind, n).repartition(partitions, "p"), kind, n, False), "runs")
+    facts = C.written(settle(find_runs(plain, kind, n).repartitionById(n, "p"), kind, n, False), "runs")
     opened = facts.where(F.col("kind") == OPEN)
     settled = facts.where(F.col("kind") == DUP)
     if opened.limit(1).count():
-        windows = find_windows(with_facts(opened, plain, n, partitions), kind, n)
-        settled = settled.unionByName(C.written(settle(windows.repartition(partitions, "p"), kind, n, True), "windows"))
-    return settled, n, partitions
+        windows = find_windows(with_facts(opened, plain, n), kind, n)
+        settled = settled.unionByName(C.written(settle(windows.repartitionById(n, "p"), kind, n, True), "windows"))
+    return settled, n
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -369,7 +375,7 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 def cut(docs: DataFrame, kind: Kind, finish, schema) -> DataFrame:
     """keyed() docs, with any further columns, through finish(rows, spans): spans has for each row the starts and ends, in tokens, to remove."""
-    facts, n, partitions = repeated(docs, kind)
+    facts, n = repeated(docs, kind)
     length = kind.length
 
     def run(batches):
@@ -378,4 +384,4 @@ def cut(docs: DataFrame, kind: Kind, finish, schema) -> DataFrame:
             spans = [C.merged(s, s + z + length - 1) if s is not None else None for s, z in (found.get(key, (None, None)) for key in keys)]
             yield finish(rows, spans)
 
-    return with_facts(facts, docs, n, partitions).mapInArrow(run, schema)
+    return with_facts(facts, docs, n).mapInArrow(run, schema)
