@@ -7,10 +7,10 @@
    every other class. Candidate pairs are estimated from the packed signatures by bit counts, corrected for
    chance collisions of low bits, and those far below the threshold are dropped.
 3. What is left is confirmed on the full sets, and confirmed links are joined into components.
-4. A bucket that still holds several components goes through again. Its members get signatures of FINE minima,
-   and every member outside the bucket's largest component is held against all members of other components,
-   inside a join that lets a pair out only if its finer estimate is near the threshold. What comes out is
-   confirmed too, so no link between components goes unseen.
+4. Members outside the largest component of a bucket that holds several try another leader, STARS times. If it
+   still holds several, its members get signatures of FINE minima, and those outside the largest component are
+   held against all members of other components, inside a join that lets a pair out only if its finer estimate
+   is near the threshold. What comes out is confirmed too, so no link between components goes unseen.
 
 With BANDS bands of 4 minima, a pair of similarity 0.75 shares no band with probability 5e-6.
 
@@ -32,6 +32,8 @@ from .components import components
 WORDS, SHARE = 5, 75
 HASHES, BANDS, BITS = 128, 32, 2
 FINE = 512
+#: Rounds in which members outside a bucket's largest component try another leader.
+STARS = 3
 #: Standard errors of an estimate by which it may fall below the threshold before the pair is dropped unread.
 ERRORS = 5
 
@@ -179,18 +181,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = C.written(pairs.where(likely(F.col("a"), F.col("b"), HASHES)).select("u", "v").distinct(), "pairs")
     label = joined(None, C.written(confirmed(tried, docs), "links").unionByName(twice))
 
-    tagged = members.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    parts = tagged.groupBy("band", "component").agg(F.count("*").alias("k"))
-    mixed = parts.groupBy("band").agg(F.count("*").alias("kinds"), F.max_by("component", "k").alias("largest")).where("kinds > 1").select("band", "largest")
-    mixed = C.written(tagged.join(mixed, "band"), "mixed")
+    for star in range(1, STARS + 1):
+        # Members outside a bucket's largest component meet one member of that, another one each time.
+        mixed = _mixed(members, label)
+        if not mixed.limit(1).count():
+            break
+        lead = mixed.where("component = largest").groupBy("band").agg(F.min_by("node", F.xxhash64("node", F.lit(star))).alias("v"))
+        pairs = mixed.where("component <> largest").join(lead, "band").select(F.col("node").alias("u"), "v").distinct()
+        pairs = C.written(_untried(pairs, tried), "pairs")
+        tried = tried.unionByName(pairs)
+        label = joined(label, C.written(confirmed(pairs, docs), "links"))
+    mixed = _mixed(members, label)
     if mixed.limit(1).count():
-        fine = C.written(finely(mixed.select("node").distinct(), docs), "fine")
-        mixed = mixed.join(fine, "node")
-        minor = mixed.where("component <> largest").select("band", F.col("node").alias("u"), F.col("component").alias("of_u"), F.col("fine").alias("fine_u"))
+        mixed = mixed.join(C.written(finely(mixed.select("node").distinct(), docs), "fine"), "node")
+        minor = mixed.where("component <> largest").select(F.col("band").alias("band_u"), F.col("node").alias("u"), F.col("component").alias("of_u"), F.col("fine").alias("fine_u"))
         # The estimate is part of the join, so only likely pairs are rows of its result.
         near = (F.col("band") == F.col("band_u")) & (F.col("component") != F.col("of_u")) & likely(F.col("fine"), F.col("fine_u"), FINE)
-        pairs = mixed.join(minor.withColumnRenamed("band", "band_u"), near).select(F.greatest("u", "node").alias("u"), F.least("u", "node").alias("v")).distinct()
-        pairs = C.written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        pairs = C.written(_untried(mixed.join(minor, near).select("u", F.col("node").alias("v")).distinct(), tried), "pairs")
         label = joined(label, C.written(confirmed(pairs, docs), "links"))
     by_node = named.select("doc_id", "node").distinct().join(label, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     by_doc = by_node.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
@@ -199,6 +206,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """band, node, component and largest for the members of buckets that hold several components."""
+    tagged = members.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    parts = tagged.groupBy("band", "component").agg(F.count("*").alias("k"))
+    several = parts.groupBy("band").agg(F.count("*").alias("kinds"), F.max_by("component", F.col("k") * (1 << 20) + F.pmod(F.xxhash64("component"), F.lit(1 << 20))).alias("largest")).where("kinds > 1")
+    return C.written(tagged.join(several.select("band", "largest"), "band"), "mixed")
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """pairs(u, v), in the order of ids and once each, that are not among tried."""
+    ordered = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return ordered.join(tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
+
+
 def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """label(node, component) with links(u, v) added: only the components they join are gone through again."""
     if label is None:
