@@ -1,7 +1,8 @@
 """Licence scan: ordered signature rules behind a keyword prefilter.
 
 A text is lower-cased (A-Z only) and reduced to its words, joined by one space. An Aho-Corasick automaton
-finds the rules' keywords in one pass; only rules whose keyword stands in the text run their regex. A
+finds the rules' keywords in one pass; only rules one of whose keywords stands in the text run their regex.
+Every match of a rule holds one of its keywords, so the prefilter loses nothing. A
 detection is a range of words with a rule's priority. One that lies inside a detection of higher
 priority (or of equal priority and greater length) is suppressed; partial overlaps both stay.
 
@@ -31,8 +32,8 @@ _VERSION = r"(?: version| v| ver)? ?"
 _LATER = r" (?:or|and)(?: at your option)? (?:\(?at your option\)? )?any later(?: version)?| or later| or newer| plus"
 
 
-def _versioned(label: str, names: str, keyword: str, versions: str, later: bool = False) -> list[tuple]:
-    """Rules for a licence with versions: each version, each version or later, and the bare name."""
+def _versioned(label: str, names: str, keyword: str, versions: str, later: bool = False, bare: str | None = None) -> list[tuple]:
+    """Rules for a licence with versions: each version, each version or later, and the bare name (`bare` where the names alone say no licence)."""
     out = []
     for version in versions.split():
         number = version.replace(".", " ").removesuffix(" 0")
@@ -41,7 +42,7 @@ def _versioned(label: str, names: str, keyword: str, versions: str, later: bool
             out.append((f"{label}-{version}-or-later", 90, 0.98, keyword, exact + rf"(?:{_LATER})\b"))
         out.append((f"{label}-{version}", 80, 0.95, keyword, exact))
         out.append((f"{label}-{version}", 85, 1.0, "spdx", rf"spdx license identifier {label.replace('-', ' ')} {version.replace('.', ' ')}(?: only)?\b"))
-    out.append((label, 40, 0.7, keyword, rf"(?:{names})(?: license| licence)?\b"))
+    out.append((label, 40, 0.7, keyword, rf"(?:{bare or names})(?: license| licence)?\b"))
     return out
 
 
@@ -51,9 +52,9 @@ def _plain(label: str, keyword: str, *patterns: str, priority: int = 60, weight:
 
 
 def rules() -> list[tuple[str, int, float, str, str]]:
-    """(label, priority, weight, keyword, regex over words), in the order in which ties are resolved."""
+    """(label, priority, weight, keywords divided by |, regex over words), in the order in which ties are resolved."""
     out: list[tuple] = []
-    out += _versioned("gpl", "gnu general public|gnu gpl|gpl|gplv", "gpl", "1.0 2.0 3.0", True)
+    out += _versioned("gpl", "gnu general public|gnu gpl|gpl|gplv", "gnu general public|gpl", "1.0 2.0 3.0", True)
     out += _versioned("gpl", "gnu general public|general public", "general public", "1.0 2.0 3.0", True)
     out += _versioned("lgpl", "gnu lesser general public|gnu library general public|lesser general public|library general public", "general public", "2.0 2.1 3.0", True)
     out += _versioned("lgpl", "gnu lgpl|lgpl|lgplv", "lgpl", "2.0 2.1 3.0", True)
@@ -61,17 +62,17 @@ def rules() -> list[tuple[str, int, float, str, str]]:
     out += _versioned("agpl", "gnu agpl|agpl|agplv", "agpl", "1.0 3.0", True)
     out += _versioned("gfdl", "gnu free documentation", "free documentation", "1.1 1.2 1.3", True)
     out += _versioned("apache", "apache software|apache", "apache", "1.0 1.1 2.0")
-    out += _versioned("mpl", "mozilla public|mpl", "mozilla", "1.0 1.1 2.0")
-    out += _versioned("epl", "eclipse public|epl", "eclipse", "1.0 2.0")
-    out += _versioned("cddl", "common development and distribution|cddl", "common development", "1.0 1.1")
+    out += _versioned("mpl", "mozilla public|mpl", "mozilla public|mpl", "1.0 1.1 2.0")
+    out += _versioned("epl", "eclipse public|epl", "eclipse public|epl", "1.0 2.0")
+    out += _versioned("cddl", "common development and distribution|cddl", "common development|cddl", "1.0 1.1")
     out += _versioned("cpl", "common public", "common public", "1.0")
-    out += _versioned("eupl", "european union public|eupl", "european union public", "1.0 1.1 1.2")
+    out += _versioned("eupl", "european union public|eupl", "european union public|eupl", "1.0 1.1 1.2")
     out += _versioned("osl", "open software", "open software", "1.0 1.1 2.0 2.1 3.0")
     out += _versioned("afl", "academic free", "academic free", "1.1 1.2 2.0 2.1 3.0")
     out += _versioned("artistic", "artistic", "artistic", "1.0 2.0")
     out += _versioned("ecl", "educational community", "educational community", "1.0 2.0")
-    out += _versioned("lppl", "latex project public|lppl", "latex project", "1.0 1.1 1.2 1.3")
-    out += _versioned("php", "php", "php license", "3.0 3.01")
+    out += _versioned("lppl", "latex project public|lppl", "latex project|lppl", "1.0 1.1 1.2 1.3")
+    out += _versioned("php", "php", "php", "3.0 3.01", bare="php licen[sc]e")
     out += _versioned("zpl", "zope public", "zope public", "1.1 2.0 2.1")
     out += _versioned("cecill", "cecill", "cecill", "1.0 1.1 2.0 2.1")
     out += _versioned("ofl", "sil open font|open font", "open font", "1.0 1.1")
@@ -96,10 +97,10 @@ def rules() -> list[tuple[str, int, float, str, str]]:
     out += _plain("isc", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted\b", r"permission to use copy modify (?:and )?distribute\b")
     for clauses, words in (("0", "zero|0"), ("1", "one|1"), ("2", "two|2|simplified|freebsd"), ("3", "three|3|new|modified|revised"), ("4", "four|4|original|old")):
         out += _plain(f"bsd-{clauses}-clause", "bsd", rf"(?:{words})(?: clause)? bsd(?: license)?\b", rf"bsd (?:{words}) clause(?: license)?\b", priority=70, weight=0.9)
-    out += _plain("bsd", "bsd license", r"bsd (?:style )?license\b", priority=50, weight=0.7)
+    out += _plain("bsd", "bsd license|bsd style license", r"bsd (?:style )?license\b", priority=50, weight=0.7)
     out += _plain("bsd", "redistribution and use", r"redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?\b")
     out += _plain("bsd-3-clause", "neither the name", r"neither the names? of .{0,80}? may be used to endorse or promote products\b", priority=65)
-    out += _plain("zlib", "zlib license", r"zlib(?: libpng)? license\b")
+    out += _plain("zlib", "zlib license|zlib libpng license", r"zlib(?: libpng)? license\b")
     out += _plain("zlib", "altered source versions", r"altered source versions must be plainly marked as such\b")
     out += _plain("unlicense", "unlicense", r"(?:the )?unlicense\b", r"unlicense org\b")
     out += _plain("unlicense", "free and unencumbered", r"free and unencumbered software released into the public domain\b")
@@ -127,7 +128,7 @@ def rules() -> list[tuple[str, int, float, str, str]]:
     out += _plain("reserved", "todos los derechos", r"todos los derechos reservados\b", priority=30, weight=0.5)
     out += _plain("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?\b", r"copyright (?:holder|owner|notice)s?\b", priority=20, weight=0.3)
     out += _plain("proprietary", "proprietary", r"proprietary (?:and confidential|license|software)\b", r"confidential and proprietary\b", priority=35, weight=0.6)
-    out += _plain("proprietary", "unauthorized", r"unauthori[sz]ed (?:copying|reproduction|distribution|use) .{0,60}?(?:strictly )?prohibited\b", priority=35, weight=0.6)
+    out += _plain("proprietary", "unauthorized|unauthorised", r"unauthori[sz]ed (?:copying|reproduction|distribution|use) .{0,60}?(?:strictly )?prohibited\b", priority=35, weight=0.6)
     out += _plain("other-licence", "licensed under", r"licensed under(?: the)?(?: terms of)?(?: the)? \w+(?: \w+)? licen[sc]e\b", priority=25, weight=0.4)
     return out
 
@@ -135,8 +136,9 @@ def rules() -> list[tuple[str, int, float, str, str]]:
 def scanner():
     """(automaton, rules compiled for bytes, base phrases as bytes): made once a task."""
     automaton, compiled, by_key = ahocorasick.Automaton(), [], {}
-    for label, priority, weight, keyword, pattern in rules():
-        by_key.setdefault(f" {keyword.encode().decode('latin-1')}", []).append(len(compiled))
+    for label, priority, weight, keywords, pattern in rules():
+        for keyword in keywords.split("|"):
+            by_key.setdefault(f" {keyword.encode().decode('latin-1')}", []).append(len(compiled))
         compiled.append((label, priority, weight, re.compile(rb"(?<= )(?:" + pattern.encode().replace(rb"\w+", rb"[^ ]+").replace(rb"\b", rb"(?= )") + rb")")))
     for k, places in by_key.items():
         automaton.add_word(k, places)

@@ -117,6 +117,51 @@ def test_licences(spark):
     assert licenses.scan(frame(spark, [])).count() == 0 and len(licenses.rules()) > 200
 
 
+def wordings(parsed):
+    """One text at least for each way through the alternatives and options of a parsed regex."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            some = [chr(arg)]
+        elif op == "IN":
+            some = [chr(x) if str(kind) == "LITERAL" else "7" for kind, x in arg]
+        elif op == "BRANCH":
+            some = [x for branch in arg[1] for x in wordings(branch)]
+        elif op == "SUBPATTERN":
+            some = wordings(arg[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            some = [*([""] if not arg[0] else []), *wordings(arg[2])]
+        else:
+            some = {"AT": [""], "ANY": ["q"]}[op]
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_the_prefilter_loses_no_rule():
+    automaton, compiled, _ = licenses.scanner()
+    for rule, (label, _, _, _, pattern) in enumerate(licenses.rules()):
+        for words in wordings(re._parser.parse(pattern)):
+            text = f" {words} ".encode()
+            hit = {k for _, some in automaton.iter(text.decode("latin-1")) for k in some}
+            if compiled[rule][3].search(text):
+                assert rule in hit, (label, words)
+            elif "  " not in f" {words} ":
+                raise AssertionError((label, words))
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [("Licensed under MPL 2.0", "mpl-2.0"), ("EPL-2.0", "epl-2.0"), ("CDDL 1.0", "cddl-1.0"), ("EUPL-1.2", "eupl-1.2"), ("LPPL 1.3", "lppl-1.3"), ("a BSD-style license", "bsd"), ("the zlib/libpng license", "zlib"), ("Unauthorised copying of this file is strictly prohibited", "proprietary"), ("PHP licence", "php"), ("PHP 3.01", "php-3.01")],
+)
+def test_gated_scan_is_that_of_all_rules(text, label):
+    automaton, compiled, _ = licenses.scanner()
+    words = f" {' '.join(alnum(text))} ".encode()
+    hit = {k for _, some in automaton.iter(words.decode("latin-1")) for k in some}
+    got = licenses.detect(words, hit, compiled)
+    assert got == licenses.detect(words, set(range(len(compiled))), compiled) and label in {d[3] for d in got}
+
+
 def test_containment_suppresses_the_weaker():
     compiled = [(label, priority, 0.5, re.compile(rb"(?<= )" + p)) for label, priority, p in (("long", 80, rb"a b c"), ("inner", 40, rb"b"), ("across", 40, rb"c d"), ("same", 80, rb"a b"))]
     assert [d[3] for d in licenses.detect(b" a b c d ", {0, 1, 2, 3}, compiled)] == ["long", "across"]
