@@ -133,6 +133,8 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
 def accepted(docs: DataFrame, model: dict | None, least: float = 0.0) -> DataFrame:
     """The documents whose language is known with a score of at least `least`; a null lang takes the prediction.
 
+    With the default of 0, only documents without a letter go, whatever the model says: README has the scores of
+    clean and of junk texts, which no threshold divides. A stated lang is not checked against the prediction.
     Without a model, the documents that have a letter.
     """
     columns = docs.columns
