@@ -1,9 +1,10 @@
-"""Substring dedup by seed and extend, over words.
+"""Substring dedup by hashes of runs and windows, over words.
 
-Documents are joined on winnowed anchors: of the 8-word hashes in each window of LENGTH words the smallest is
-a seed. A seed's run extends both ways as far as windows share it; equal runs repeat whole, and where runs on
-one seed differ, their windows are compared one by one, so that what is kept of a match is the maximal repeat
-of at least LENGTH words. See repeats.py for how that is dealt out. Each word covered by a window whose words
+Each document is cut by winnowed anchors: of the 8-word hashes in each window of LENGTH words the smallest is
+the anchor, and successive windows with one anchor are a run. Equal runs, met by content hash, repeat whole;
+where runs on one anchor differ, their windows are met by their own hashes. No pair is made and no match is
+extended, yet the windows found cover the words that the maximal repeats of at least LENGTH words do. See
+repeats.py for how that is dealt out. Each word covered by a window whose words
 also start earlier (in a smaller doc_id, or earlier in the same document) is removed.
 
 Edge cases: a null, empty or wordless text has no words and an empty kept text. Fewer than LENGTH words never
