@@ -1,10 +1,12 @@
-"""Suffix-array dedup with a logarithmic family of indexes, over bytes.
-
-Suffixes are sampled by content (the anchors of repeats.py), dealt out by anchor, and cut where a run of
-windows ends. In each task the batches that arrive are sorted, which makes each a suffix array; it is
-merge-scanned with the existing level of its size, equal neighbours are long matches, of which the later
-documents' are reported and leave the index, and the merged array moves up a level, geometrically, until a
-level is free. The last merge leaves each content once. See repeats.py for the rest. Each byte covered by a
+"""Dedup of long strings with a logarithmic family of indexes, over bytes.
+
+Positions are sampled by content (the anchors of repeats.py), dealt out by anchor, and stand for a run of
+windows each. In each task the batches that arrive are sorted by the hashes of anchor and content, not in the
+order of suffixes, and no common prefixes are scanned: the levels are tables of runs keyed by hash. A batch is
+merged with the existing level of its size, equal neighbours are equal runs, of which the later documents'
+are reported and leave the index, and the merged table moves up a level, geometrically, until a level is
+free. The last merge leaves each content once. Runs whose anchor has several contents leave for a table of
+window hashes. See repeats.py for that and the rest. Each byte covered by a
 string of LENGTH bytes that also starts in a document with a smaller doc_id is removed.
 
 Edge cases: a null or empty text has no bytes. Fewer than LENGTH bytes never match. Repeats inside a
@@ -29,7 +31,7 @@ LENGTH, GRAM = 50, 24
 
 
 class Levels:
-    """Suffix arrays whose sizes grow geometrically; a new one merges with those of its size."""
+    """Tables of runs sorted by hash, whose sizes grow geometrically; a new one merges with those of its size."""
 
     #: Entries of the lowest level.
     BASE = 1 << 12
