@@ -4,8 +4,9 @@ A shard is a block of documents within a task. Its suffix array holds word posit
 cut to WINDOW words (the 64-bit hash of those words is the sort key, so equal truncated suffixes are
 neighbours). Only positions whose first two words open some test suffix are put into the array; no binary
 search can end at another. Every test suffix of WINDOW words, and every shorter item as a whole, is
-binary-searched in every shard; the range found holds its verbatim places. Overlapping places of successive
-suffixes join into the longest verbatim matches, whose locations the operator returns.
+binary-searched in every shard; the range found holds its verbatim places. Places that overlap or touch, of
+whatever items, join into covered spans, whose words are counted. A covered span is not one match: two items
+quoted back to back are one span that stands in neither, and no match length can be read from it.
 
 The test set is read in blocks of about TEST_BLOCK windows. Each is broadcast on its own and met with all
 documents, whose rows carry the findings so far by way of a written table; there is no shuffle. A test set of
@@ -31,7 +32,7 @@ WINDOW = 13
 TEST_BLOCK = 2_000_000
 
 SPANS = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))
-#: What search() adds: words in all, longest matches in words, and ids of the items matched.
+#: What search() adds: words in all, covered spans in words (unions of matches, of any items), and ids of the items matched.
 FOUND = ("_words", "_spans", "_items")
 
 
@@ -137,7 +138,7 @@ def blocks_of(windows: DataFrame, size: int):
 
 
 def matched(docs: DataFrame, items: DataFrame, test_block: int = TEST_BLOCK) -> DataFrame:
-    """docs with FOUND, and _hit (words inside any match) and _contaminated."""
+    """docs with FOUND, and _hit (words in covered spans) and _contaminated."""
     found, windows = docs.withColumn("text", docs["text"].cast("string")), test_windows(items)
     for k, tests in enumerate(blocks_of(windows, test_block)):
         found = search(C.written(found, "matched") if k else found, tests)
