@@ -13,14 +13,14 @@ block (a stated query set against all rows, in blocks); a task keeps the best of
 candidate blocks that it has, so what is shuffled is k rows for each query and task.
 
 Edge cases: vectors that are null, empty, all zero or hold null or non-finite components, and rows without a
-vec_id, take no part. Vectors of another length than the most common one (the smallest such, on a tie) take
-no part. Rows that repeat a vec_id are candidates each; a query never finds rows of its own vec_id. Ties go to
+vec_id, take no part. Vectors of each length are searched among their own. Rows that repeat a vec_id are candidates each; a query never finds rows of its own vec_id. Ties go to
 the smaller vec_id. With fewer candidates than asked for, all are returned. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,9 @@ THRESHOLD = 0.62
 FIRST, WIDEN = 0.05, 1.25
 CANDIDATES = 0.3
 CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 1024
+#: Candidates of one length are dealt over blocks of some LEAST_BLOCK, over BLOCKS at most while none is too large. The counts are
+#: those that six cores had when blocks still followed the cluster, so that the figures measured then hold.
+LEAST_BLOCK, BLOCKS = 2048, 6
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -113,15 +116,24 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = TOP, seed: int = 7) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest candidates of each query; both are usable() frames."""
-    spark = candidates.sparkSession
-    shape = candidates.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
-    if shape is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, n, biggest = shape["d"], shape["n"], float(np.sqrt(shape["m"]))
-    n_queries = queries.where(F.size("v") == dims).count()
-    # As many candidate blocks as keep tasks busy, none over CANDIDATE_BLOCK vectors but by chance of the hash (packed() cuts those).
-    cells = max(1, -(-n // CANDIDATE_BLOCK), min(n // 2048, spark.sparkContext.defaultParallelism))
+    """query_id, rank, vec_id and score of the k nearest candidates of each query, of its own length; both are usable() frames."""
+    shapes = candidates.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy("d").collect()
+    asked = {r["d"]: r["n"] for r in queries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    found = [_found(queries, candidates, s["d"], s["n"], asked[s["d"]], float(np.sqrt(s["m"])), k, seed) for s in shapes if s["d"] in asked]
+    if not found:
+        return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "dims").orderBy(F.desc("score"), "vec_id"))
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def blocks(n: int) -> int:
+    """How many blocks n candidates are dealt over, from n alone; none over CANDIDATE_BLOCK vectors but by chance of the hash (packed() cuts those)."""
+    return max(1, -(-n // CANDIDATE_BLOCK), min(n // LEAST_BLOCK, BLOCKS))
+
+
+def _found(queries: DataFrame, candidates: DataFrame, dims: int, n: int, n_queries: int, biggest: float, k: int, seed: int) -> DataFrame:
+    """query_id, vec_id, score and dims of the best that each task has found for queries of one length among n candidates of that length."""
+    cells = blocks(n)
     groups = max(1, -(-n_queries // QUERY_BLOCK))
     of = lambda rows, by, many: rows.where(F.size("v") == dims).select(F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int").alias(by), "vec_id", "v")
     left = packed(of(candidates, "cell", cells), "cell", CANDIDATE_BLOCK, min(cells, 4096))
@@ -153,8 +165,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = TOP, seed: int =
             yield pa.record_batch([pa.array(np.repeat(np.frombuffer(q_ids, np.int64), many)), pa.array(np.concatenate([v for _, v in lists])), pa.array(np.concatenate([s for s, _ in lists]))], ["query_id", "vec_id", "score"])
 
     found = met.select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("dims", F.lit(dims))
 
 
 def op10_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -108,3 +108,24 @@ def test_unsound_vectors_take_no_part(spark):
     assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 2, 0.5)]
     assert neighbours.search(table.limit(0), table.limit(0)).count() == 0
     assert neighbours.search(table.where("vec_id % 20 = 7"), table).count() == 0
+
+
+def test_each_length_is_searched_among_its_own(spark):
+    rows = [*vectors(3, 60, 4), *[(k + 100, v) for k, v in vectors(4, 30, 3)]]
+    table = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in neighbours.search(table.where("vec_id % 20 = 0"), table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sorted(got) == [0, 20, 40, 100, 120]
+    assert all(len(v) == 20 and all((x >= 100) == (q >= 100) for x in v) for q, v in got.items())
+
+
+def test_blocks_follow_from_the_row_count(spark, monkeypatch):
+    many, packed = [], neighbours.packed
+    monkeypatch.setattr(neighbours, "packed", lambda rows, by, size, parts: many.append((by, parts)) or packed(rows, by, size, parts))
+    table = neighbours.usable(spark.createDataFrame(vectors(5, 20, 4), "vec_id long, embedding array<double>")).crossJoin(spark.range(820).select("id")).drop("id")
+    for parallel in (1, 64):
+        monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda _, p=parallel: p))
+        neighbours.search(table.where("vec_id = 0"), table)
+    cells = [parts for by, parts in many if by == "cell"]
+    assert cells == [neighbours.blocks(16_400)] * 2
