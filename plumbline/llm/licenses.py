@@ -52,7 +52,7 @@ def _plain(label: str, keyword: str, *patterns: str, priority: int = 60, weight:
 
 
 def rules() -> list[tuple[str, int, float, str, str]]:
-    """(label, priority, weight, keywords divided by |, regex over words), in the order in which ties are resolved."""
+    """(label, priority, weight, keywords divided by |, regex over words), in the order in which ties are resolved; no rule twice."""
     out: list[tuple] = []
     out += _versioned("gpl", "gnu general public|gnu gpl|gpl|gplv", "gnu general public|gpl", "1.0 2.0 3.0", True)
     out += _versioned("gpl", "gnu general public|general public", "general public", "1.0 2.0 3.0", True)
@@ -130,7 +130,7 @@ def rules() -> list[tuple[str, int, float, str, str]]:
     out += _plain("proprietary", "proprietary", r"proprietary (?:and confidential|license|software)\b", r"confidential and proprietary\b", priority=35, weight=0.6)
     out += _plain("proprietary", "unauthorized|unauthorised", r"unauthori[sz]ed (?:copying|reproduction|distribution|use) .{0,60}?(?:strictly )?prohibited\b", priority=35, weight=0.6)
     out += _plain("other-licence", "licensed under", r"licensed under(?: the)?(?: terms of)?(?: the)? \w+(?: \w+)? licen[sc]e\b", priority=25, weight=0.4)
-    return out
+    return list(dict.fromkeys(out))  # names of one licence give the same identifiers
 
 
 def scanner():

@@ -162,6 +162,11 @@ def test_gated_scan_is_that_of_all_rules(text, label):
     assert got == licenses.detect(words, set(range(len(compiled))), compiled) and label in {d[3] for d in got}
 
 
+def test_no_rule_stands_twice():
+    rules = licenses.rules()
+    assert len(rules) == len({(label, priority, weight, pattern) for label, priority, weight, _, pattern in rules})
+
+
 def test_containment_suppresses_the_weaker():
     compiled = [(label, priority, 0.5, re.compile(rb"(?<= )" + p)) for label, priority, p in (("long", 80, rb"a b c"), ("inner", 40, rb"b"), ("across", 40, rb"c d"), ("same", 80, rb"a b"))]
     assert [d[3] for d in licenses.detect(b" a b c d ", {0, 1, 2, 3}, compiled)] == ["long", "across"]
