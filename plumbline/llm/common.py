@@ -6,6 +6,7 @@ document if that is longer, so memory follows the longest text and not the parti
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,7 +22,6 @@ NO_ID = (1 << 63) - 1
 _CACHE: dict = {}
 
 U64 = np.uint64
-_MULT, _INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,8 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
 
 def crc_mod(doc_id: str | Column, by: int) -> Column:
     """crc32 of doc_id as text, mod by; null counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None).cast("long")).cast("string").cast("binary")) % by
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % by
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +88,11 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def blocks(offsets: np.ndarray, size: int = 0) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about size bytes (BLOCK_BYTES if 0), or one longer row."""
+def blocks(offsets: np.ndarray, size: int = 0, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many rows that hold about size bytes (BLOCK_BYTES if 0), or one longer row."""
     size, at, n = size or BLOCK_BYTES, 0, len(offsets) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
         yield at, to
         at = to
 
@@ -139,25 +140,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse, mod 2**64."""
-    have = _CACHE.get("powers")
-    if have is None or len(have[0]) < n:
-        size = max(n, BLOCK_BYTES) + 1
-        made = []
-        for base in (_MULT, _INV):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            made.append(np.cumprod(x, dtype=U64))
-        have = _CACHE["powers"] = tuple(made)
-    return have
-
-
-def byte_codes() -> np.ndarray:
-    """A fixed 64-bit code for each byte."""
-    return mixed(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-
-
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ U64(seed) if seed else x.copy()
@@ -169,37 +151,79 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-def prefix_sums(codes: np.ndarray) -> np.ndarray:
-    """Sums s with which span_hashes() hashes any span of codes."""
-    up, _ = powers(len(codes))
-    sums = np.empty(len(codes) + 1, U64)
-    sums[0] = 0
-    np.cumsum(codes * up[: len(codes)], dtype=U64, out=sums[1:])
-    return sums
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Codes of a's items followed by b's. Scrambled at each step, so no sum of powers cancels in self-similar texts."""
+    x = a * U64(0x9E3779B97F4A7C15)
+    x += b
+    x ^= x >> U64(29)
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(32)
+    return x
+
+
+def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all spans of n codes, by doubling: of spans of 1, 2, 4, ... codes those that make up n are joined."""
+    if len(codes) < n:
+        return np.zeros(0, U64)
+    level, width, out, done = codes, 1, None, 0
+    while True:
+        if n & width:
+            out = level if out is None else joined(out[: len(codes) - done - width + 1], level[done:])
+            done += width
+        if done == n:
+            return out
+        level = joined(level[:-width], level[width:])
+        width *= 2
+
+
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of codes, none empty, equal for equal codes wherever they stand.
+
+    A span is the two spans of the largest power of two that cover it, and its length.
+    """
+    size = ends - starts
+    out = np.empty(len(starts), U64)
+    level, width, longest = codes, 1, int(size.max()) if len(size) else 0
+    while width <= longest:
+        own = np.flatnonzero((size >= width) & (size < 2 * width))
+        if len(own):
+            out[own] = joined(joined(level[starts[own]], level[ends[own] - width]), size[own].astype(U64))
+        if 2 * width <= longest:
+            level = joined(level[:-width], level[width:])
+        width *= 2
+    return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of codes, equal for equal codes wherever they stand."""
-    _, down = powers(len(sums))
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+def eights(data: np.ndarray) -> np.ndarray:
+    """(len, 8) view: the eight bytes from each place on, zeros behind the end."""
+    return np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)]), (len(data) + 1, 8), (1, 1))
 
 
-def gram_hashes(sums: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all spans of n codes."""
-    if len(sums) <= n:
-        return np.zeros(0, U64)
-    _, down = powers(len(sums))
-    return mixed((sums[n:] - sums[:-n]) * down[: len(sums) - n] + U64(n))
+#: Bytes of a word behind which it is hashed by BLAKE2.
+FAR = 256
+_LOW = (~U64(0)) >> (U64(64) - U64(8) * np.arange(9, dtype=U64).clip(1))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix_sums(_codes()[data]), starts, ends)
+    """64-bit hashes of words, eight bytes at a time; what a word has beyond FAR bytes by a digest."""
+    view, size = eights(data), ends - starts
+    out, left, at = mixed(size.astype(U64) + U64(1)), np.arange(len(starts)), 0
+    while len(left) and at < FAR:
+        rest = size[left] - at
+        x = np.ascontiguousarray(view[starts[left] + at]).view(U64)[:, 0]
+        x &= _LOW[np.minimum(rest, 8)]
+        out[left] = joined(out[left], x)
+        at += 8
+        left = left[rest > 8]
+    for k in left:
+        digest = hashlib.blake2b(data[starts[k] + at : ends[k]].tobytes(), digest_size=8).digest()
+        out[k] = joined(out[k : k + 1], np.frombuffer(digest, U64))[0]
+    return out
 
 
-def _codes() -> np.ndarray:
-    if "codes" not in _CACHE:
-        _CACHE["codes"] = byte_codes()
-    return _CACHE["codes"]
+def byte_codes() -> np.ndarray:
+    """A fixed 64-bit code for each byte."""
+    return mixed(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 
 def row_of(counts_before: np.ndarray) -> np.ndarray:

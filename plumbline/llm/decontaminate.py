@@ -45,7 +45,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray):
 
 def windows_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of every n successive words."""
-    return C.gram_hashes(C.prefix_sums(hashes), n)
+    return C.gram_hashes(hashes, n)
 
 
 def test_windows(items: DataFrame) -> DataFrame:
@@ -74,8 +74,7 @@ def suffix_array(hashes: np.ndarray, before: np.ndarray, n: int, heads: np.ndarr
     at = np.flatnonzero(heads[(grams >> C.U64(48)).astype(np.int64)])
     row_end = before[np.searchsorted(before, at, "right")] if len(at) else at
     at = at[at + n <= row_end]
-    sums = C.prefix_sums(hashes)
-    keys = C.span_hashes(sums, at, at + n)
+    keys = windows_of(hashes, n)[at]
     order = np.argsort(keys, kind="stable")
     return keys[order], at[order]
 

@@ -42,14 +42,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its shingles."""
     data = C.lower_table()[data]
     starts, ends, before = C.word_bounds(data, offsets, C.byte_class("space"))
-    sums = C.prefix_sums(C.word_hashes(data, starts, ends))
-    grams = C.gram_hashes(sums, WORDS)
+    words = C.word_hashes(data, starts, ends)
+    grams = C.gram_hashes(words, WORDS)
     out = []
     for a, b in zip(before[:-1], before[1:], strict=True):
         if b - a >= WORDS:
             out.append(np.unique(grams[a : b - WORDS + 1]))
         else:
-            out.append(C.span_hashes(sums, np.array([a]), np.array([b])) if b > a else np.zeros(0, C.U64))
+            out.append(C.span_hashes(words, np.array([a]), np.array([b])) if b > a else np.zeros(0, C.U64))
     return out
 
 

@@ -68,8 +68,7 @@ def runs(codes: np.ndarray, before: np.ndarray, kind: Kind) -> tuple[np.ndarray,
     n = len(codes) - kind.length + 1
     if n <= 0:
         return (np.zeros(0, C.U64),) * 2 + (np.zeros(0, np.int64),) * 3
-    sums = C.prefix_sums(codes)
-    grams = C.gram_hashes(sums, kind.gram)
+    grams = C.gram_hashes(codes, kind.gram)
     least = sliding_min(grams, kind.length - kind.gram + 1)
     row = np.repeat(np.arange(len(before) - 1, dtype=np.int32), np.diff(before))
     whole = row[:n] == row[kind.length - 1 :]
@@ -83,7 +82,7 @@ def runs(codes: np.ndarray, before: np.ndarray, kind: Kind) -> tuple[np.ndarray,
         parts = -(-size // LONGEST)
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         start, size = np.repeat(start, parts) + step * LONGEST, np.minimum(np.repeat(size, parts) - step * LONGEST, LONGEST)
-    content = C.span_hashes(sums, start, start + size + kind.length - 1)
+    content = C.span_hashes(codes, start, start + size + kind.length - 1)
     own = row[start].astype(np.int64)
     return least[start], content, own, start - before[own], size
 
@@ -336,7 +335,7 @@ def find_windows(together: DataFrame, kind: Kind, n: int) -> DataFrame:
                 codes, _ = tokens(kind.unit, data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))
                 many = ends - starts
                 at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                held.append([C.span_hashes(C.prefix_sums(codes), at, at + kind.length), np.zeros(len(at), np.uint32), np.full(len(at), ids[k]), np.full(len(at), prints[k]), at, np.ones(len(at), np.int64)])
+                held.append([C.gram_hashes(codes, kind.length)[at], np.zeros(len(at), np.uint32), np.full(len(at), ids[k]), np.full(len(at), prints[k]), at, np.ones(len(at), np.int64)])
                 size += len(at)
             if size > CHUNK_BYTES // 16:
                 yield row_batch(_sent(held, kind, n))

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from plumbline.llm import components, minhash, repeats, substrings, suffixes
+from plumbline.llm import components, decontaminate, minhash, repeats, substrings, suffixes
 
 from .fixtures import by_id, frame, texts
 
@@ -169,6 +169,19 @@ def test_rows_that_repeat_an_id(spark):
     assert substrings.without_repeats(frame(spark, [])).count() == suffixes.without_matches(frame(spark, [])).count() == suffixes.cleaned(frame(spark, [])).count() == 0
 
 
+def test_self_similar_texts(spark):
+    """Thue-Morse texts and their complements: a polynomial mod 2**64 takes them for equal."""
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    rows = [(1, morse), (2, other), (3, " ".join(["x"] * 30 + [morse] + ["y"] * 30)), (4, " ".join(["x"] * 30 + [other] + ["y"] * 30)), (5, " ".join(morse)), (6, " ".join(other))]
+    assert by_id(minhash.near_duplicates(frame(spark, rows)), "n_shingles", "component_id", "kept") == near_duplicates(rows)
+    assert by_id(substrings.without_repeats(frame(spark, rows)), "n_words", "n_removed", "kept_sha256") == without_word_repeats(rows)
+    assert by_id(suffixes.without_matches(frame(spark, rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == without_byte_matches(rows)
+    items = frame(spark, [(7, morse + " " + " ".join(morse[:20]))]).withColumnRenamed("doc_id", "item_id")
+    hit = {r.doc_id: r._hit for r in decontaminate.matched(frame(spark, [(1, " ".join([morse, *morse[:20]])), (2, " ".join([other, *morse[:11]]))]), items).collect()}
+    assert hit == {1: 21, 2: 0}
+
+
 def test_levels_find_what_one_join_finds():
     rng = np.random.default_rng(2)
     levels, joined = suffixes.Levels(False), repeats.Joined(False)
