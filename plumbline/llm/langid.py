@@ -4,8 +4,8 @@ Kernel: the blended-spectrum presence kernel. A text's set holds its distinct by
 bytes (of the lower-cased UTF-8 text, whole), hashed to DIMS places; k(x, y) is the size of the intersection
 divided by the geometric mean of the sizes. Nystroem: LANDMARKS texts, as many of each language as possible,
 span the feature space. One-versus-rest kernel ridge regression is solved in it on the driver, over a sample
-of at most SAMPLE labelled texts (a bound of the training alone, chosen by a hash of doc_id; the texts are
-read whole, and what is collected is DIMS bits of each). Scoring is one matrix product of a block's presence
+of at most SAMPLE labelled texts (a bound of the training alone, as many of each language as possible, chosen by
+a hash of doc_id; the texts are read whole, and what is collected is DIMS bits of each). Scoring is one matrix product of a block's presence
 matrix with the landmarks' and one with the weights.
 
 Edge cases: a text that is null or has no letter is `und` with score 0, as is every text if nothing can be
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -27,6 +27,8 @@ DIMS = 1 << 15
 SAMPLE = 2000
 LANDMARKS = 96
 RIDGE = 1e-3
+#: Texts whose presence is held as floats at a time.
+ROWS = 128
 UNKNOWN = "und"
 
 
@@ -52,20 +54,32 @@ def sized(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(x.sum(1, dtype=np.float64), 1))
 
 
-def fit(sets: np.ndarray, langs: list[str]) -> dict | None:
-    """The model: landmarks (DIMS, m), weights (m, classes) and the languages in order. sets: presence of the sample."""
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    """Presence as floats from packed bits."""
+    return np.unpackbits(bits, axis=1).astype(np.float32)
+
+
+def fit(bits: np.ndarray, langs: list[str]) -> dict | None:
+    """The model: landmarks (DIMS, m), weights (m, classes) and the languages in order.
+
+    bits: packed presence of the sample, of which only ROWS are floats at a time.
+    """
     classes = sorted(set(langs))
     if not classes:
         return None
     y = np.array([classes.index(x) for x in langs])
     each = max(1, LANDMARKS // len(classes))
     marks = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(classes))])
-    x = sets / sized(sets)[:, None].astype(np.float32)
-    landmarks = x[marks]
+    landmarks = unpacked(bits[marks])
+    landmarks /= sized(landmarks)[:, None].astype(np.float32)
+    kernel = []
+    for a in range(0, len(bits), ROWS):
+        x = unpacked(bits[a : a + ROWS])
+        kernel.append((x @ landmarks.T).astype(np.float64) / sized(x)[:, None])
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = np.c_[(x @ landmarks.T).astype(np.float64) @ root, np.ones(len(x))]
+    features = np.c_[np.concatenate(kernel) @ root, np.ones(len(bits))]
     target = np.where(y[:, None] == np.arange(len(classes)), 1.0, -1.0)
     weight = (len(y) / (len(classes) * np.bincount(y, minlength=len(classes))))[y][:, None]
     gram = features.T @ (features * weight)
@@ -86,26 +100,32 @@ def _lowered(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """Fits the model on docs(doc_id, text, lang), of which at most about `sample` rows are used."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_order", F.xxhash64("doc_id"))
-    least = rows.select("_order").orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]
-    if least is None:
+    """Fits the model on docs(doc_id, text, lang), of which at most `sample` are used: as many of each language as possible.
+
+    The documents of a language come in the order of a hash of doc_id, and the languages in turn. Of the rows that
+    share a doc_id (or have none) one is learned from.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("_order"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("_order"))
+    chosen = rows.select("lang", "_order").withColumn("turn", turn).where(F.col("turn") <= sample).orderBy("turn", "_order", "lang").limit(sample).toPandas()
+    if chosen.empty:
         return None
 
     def make(batch):
         data, offsets = C.column_bytes(batch.column("_lower"))
-        for a, b in C.blocks(offsets):
+        for a, b in C.blocks(offsets, rows=ROWS):
             sets = presence(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             bits = np.packbits(sets.astype(bool), axis=1)
             yield pa.record_batch([batch.column("_order").slice(a, b - a), batch.column("lang").slice(a, b - a), pa.array([x.tobytes() for x in bits], pa.binary())], ["_order", "lang", "bits"])
 
-    some = _lowered(rows.where(F.col("_order") <= least)).where(F.col("_lower").isNotNull())
-    got = C.map_texts(some.select("_order", F.col("lang").cast("string").alias("lang"), "_lower"), make, "_order long, lang string, bits binary").toPandas()
-    got = got.sort_values(["_order", "lang", "bits"], kind="stable").head(sample)
+    # At most `sample` hashes: they filter the scan.
+    some = _lowered(rows.where(F.col("_order").isin([int(x) for x in chosen["_order"].unique()]))).where(F.col("_lower").isNotNull())
+    found = C.map_texts(some.select("_order", "lang", "_lower"), make, "_order long, lang string, bits binary")
+    got = found.groupBy("_order").agg(F.min(F.struct("lang", "bits")).alias("x")).select("_order", "x.lang", "x.bits").toPandas()
     if got.empty:
         return None
-    sets = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), DIMS // 8), axis=1).astype(np.float32)
-    return fit(sets, got["lang"].tolist())
+    got = got.sort_values("_order", kind="stable")
+    return fit(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), DIMS // 8), got["lang"].tolist())
 
 
 def predict(docs: DataFrame, model: dict | None, keep: list[str] | None = None) -> DataFrame:
@@ -119,7 +139,7 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
         column = batch.column("_lower")
         data, offsets = C.column_bytes(column)
         known = ~np.asarray(column.is_null())
-        for a, b in C.blocks(offsets):
+        for a, b in C.blocks(offsets, rows=ROWS):
             all_scores = scores(model, presence(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
             best = np.where(known[a:b], all_scores.argmax(1), len(classes) - 1)
             score = np.where(known[a:b], all_scores.max(1), 0.0)

@@ -7,7 +7,7 @@ trees are flattened into arrays of features, thresholds and children, and walked
 all trees at once, DEPTH steps down.
 
 Edge cases: null and empty texts have all-zero statistics and get a score like any other. A document with
-several labels counts with the largest. With no usable label, or labels of one kind only, the score is their
+several labels counts with the largest; of rows that repeat a doc_id one is learned from. With no usable label, or labels of one kind only, the score is their
 mean (0.5 without any). Rows that repeat a doc_id, or have none, are scored one by one. Extra columns are
 ignored.
 """
@@ -184,8 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         return pa.record_batch([rows.column("doc_id"), rows.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     # At most `sample` rows of two numbers are broadcast.
-    got = _measured(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id"), finish, "doc_id long, quality int, x array<double>").toPandas()
-    got = got.assign(key=got["x"].map(lambda v: np.array(v, float).tobytes())).sort_values(["doc_id", "key"], kind="stable").head(sample)
+    found = _measured(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id"), finish, "doc_id long, quality int, x array<double>")
+    # Of the rows that repeat a doc_id one is learned from, so no more than `sample` come to the driver.
+    got = found.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("y")).select("doc_id", "y.quality", "y.x").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return grow(x, (got["quality"].to_numpy(float) >= 1).astype(float))
 
