@@ -4,15 +4,15 @@
    keys, and a packed signature of BITS low bits of each minimum. Equal sets are one class, named by its
    smallest doc_id; only classes go on, so copies never meet each other.
 2. Classes that share a band key are candidates. In each bucket every class meets the bucket's leader, not
-   every other class. Candidate pairs are estimated from the packed signatures by bit counts, corrected for
-   chance collisions of low bits, and those far below the threshold are dropped.
-3. What is left is confirmed on the full sets, and confirmed links are joined into components.
-4. Members outside the largest component of a bucket that holds several try another leader, STARS times. If it
-   still holds several, its members get signatures of FINE minima, and those outside the largest component are
-   held against all members of other components, inside a join that lets a pair out only if its finer estimate
-   is near the threshold. What comes out is confirmed too, so no link between components goes unseen.
+   every other class. These pairs are estimated from the packed signatures by bit counts, corrected for
+   chance collisions of low bits, and those far below the threshold are left to step 4.
+3. The others are confirmed on the full sets, and confirmed links are joined into components.
+4. In a bucket that still holds several components, the members outside the largest are held against all
+   members of other components, on the full sets, block against block. A task returns only the links that
+   join its components, so what comes out grows with the members and not with their pairs.
 
-With BANDS bands of 4 minima, a pair of similarity 0.75 shares no band with probability 5e-6.
+So of the candidates of step 2 no link between components goes unseen: an estimate only decides where a pair is
+compared. With BANDS bands of 4 minima, a pair of similarity 0.75 shares no band with probability 5e-6.
 
 Edge cases: a null, empty or wordless text has an empty set, n_shingles 0 and is linked with nothing. Fewer
 words than WORDS make one shingle. Rows that repeat a doc_id are one document: what one is linked with, all
@@ -31,11 +31,12 @@ from .components import components
 
 WORDS, SHARE = 5, 75
 HASHES, BANDS, BITS = 128, 32, 2
-FINE = 512
-#: Rounds in which members outside a bucket's largest component try another leader.
-STARS = 3
-#: Standard errors of an estimate by which it may fall below the threshold before the pair is dropped unread.
+#: Standard errors of an estimate by which it may fall below the threshold before the pair is left to the blocks.
 ERRORS = 5
+#: Members that pass by one copy of a leader's set.
+SPREAD = 1024
+#: Members, and shingles, that a block holds on average.
+BLOCK, WEIGHT = 256, 1 << 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -120,53 +121,164 @@ def likely(one, other, hashes: int):
     return ((1 - differ / hashes) - chance) / (1 - chance) >= SHARE / 100 - ERRORS * error
 
 
-def finely(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and fine, the packed signature of FINE minima, for the documents nodes(node)."""
+def texts_of(docs: DataFrame) -> DataFrame:
+    """node and text of the rows that have a doc_id."""
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
 
-    def make(batch):
-        data, offsets = C.column_bytes(batch.column("text"))
-        for a, b in C.blocks(offsets):
-            sets = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            full = [k for k in range(b - a) if len(sets[k])]
-            if full:
-                yield pa.record_batch([batch.column("node").take(pa.array([a + k for k in full])), pa.array(list(packed(minima_of([sets[k] for k in full], FINE))), pa.list_(pa.int64()))], ["node", "fine"])
 
-    return C.map_texts(nodes.join(docs.withColumnRenamed("doc_id", "node"), "node").select("node", "text"), make, "node long, fine array<long>")
+def alike(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted sets have 100 * intersection >= SHARE * union, and share anything."""
+    if not len(one) or not len(other) or 100 * min(len(one), len(other)) < SHARE * max(len(one), len(other)):
+        return False
+    at = np.minimum(np.searchsorted(other, one), len(other) - 1)
+    both = int((other[at] == one).sum())
+    return both > 0 and 100 * both >= SHARE * (len(one) + len(other) - both)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(u, v) with 100 * intersection >= SHARE * union of their documents' full sets."""
-    texts = docs.where("doc_id IS NOT NULL")
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("one")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("other")), "v")
-
-    def make(batch):
-        u, v = (np.asarray(batch.column(k)) for k in ("u", "v"))
-        sides = [(batch.column(k), *C.column_bytes(batch.column(k))) for k in ("one", "other")]
-        of = lambda side, i: shingles(side[1][side[2][i] : side[2][i + 1]], np.array([0, side[2][i + 1] - side[2][i]]))[0]
-        keep, last, its = np.zeros(len(u), bool), None, None
-        for i in range(len(u)):
-            if last is None or v[i] != v[last] or not sides[1][0][i].equals(sides[1][0][last]):
-                last, its = i, of(sides[1], i)
-            mine = of(sides[0], i)
-            both = len(np.intersect1d(mine, its, assume_unique=True))
-            keep[i] = both > 0 and 100 * both >= SHARE * (len(mine) + len(its) - both)
-        yield pa.record_batch([pa.array(u[keep], pa.int64()), pa.array(v[keep], pa.int64())], ["u", "v"])
+    """The pairs(u, v) whose documents' full sets are alike; v is the leader of many u.
 
-    return C.map_texts(both.select("u", "v", "one", "other"), make, "u long, v long")
+    A leader's set is made once for SPREAD of its members, which pass by it as a stream.
+    """
+    salts = pairs.groupBy("v").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts"))
+    leaders = salts.select("v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("v").alias("node"))
+    members = pairs.join(salts, "v").select("v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("u").alias("node"))
+    rows = leaders.unionByName(members).join(texts_of(docs), "node").repartition("v", "salt").sortWithinPartitions("v", "salt", "kind")
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            data, offsets = C.column_bytes(batch.column("text"))
+            v, salt, kind, node = (batch.column(k).to_pylist() for k in ("v", "salt", "kind", "node"))
+            links = []
+            for a, b in C.blocks(offsets):
+                for i, mine in enumerate(shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), a):
+                    if (v[i], salt[i]) != at:
+                        at, held = (v[i], salt[i]), []
+                    if not kind[i]:
+                        held.append(mine)
+                    elif any(alike(mine, x) for x in held):
+                        links.append((node[i], v[i]))
+            if links:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["u", "v"])
+
+    return rows.select("v", "salt", "kind", "node", "text").mapInArrow(run, "u long, v long")
+
+
+def _packed_sets(rows: DataFrame) -> DataFrame:
+    """rows(band, kind, part, parts, node, component, text) as one row for each band, kind and part, with all its sets as bytes."""
+    keys = ["band", "kind", "part", "parts"]
+    schema = pa.schema([("band", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("parts", pa.int32()), ("payload", pa.binary())])
+
+    def run(batches):
+        at, held = None, []
+
+        def out():
+            nodes, components, sets = zip(*held, strict=True)
+            payload = b"".join([np.array([len(sets)], np.int64).tobytes(), np.array(nodes, np.int64).tobytes(), np.array(components, np.int64).tobytes(), np.array([len(x) for x in sets], np.int64).tobytes(), np.concatenate(sets).tobytes()])
+            return pa.record_batch([pa.array([x], t) for x, t in zip((*at, payload), schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            data, offsets = C.column_bytes(batch.column("text"))
+            key = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            node, component = (batch.column(k).to_pylist() for k in ("node", "component"))
+            for a, b in C.blocks(offsets):
+                for i, mine in enumerate(shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), a):
+                    if key[i] != at:
+                        if held:
+                            yield out()
+                        at, held = key[i], []
+                    if len(mine):
+                        held.append((node[i], component[i], mine))
+        if held:
+            yield out()
+
+    dealt = rows.repartition("band", "kind", "part").sortWithinPartitions("band", "kind", "part")
+    return dealt.select(*keys, "node", "component", "text").mapInArrow(run, "band long, kind int, part int, parts int, payload binary")
+
+
+def _sets_of(payload: bytes) -> tuple[np.ndarray, ...]:
+    """(components, sizes, sets end to end) of a packed row."""
+    n = int(np.frombuffer(payload, np.int64, 1)[0])
+    components, sizes = (np.frombuffer(payload, np.int64, n, 8 + 8 * n * k) for k in (1, 2))
+    return components, sizes, np.frombuffer(payload, C.U64, offset=8 + 24 * n)
+
+
+def met_in_blocks(mixed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links u, v between the components of mixed(band, node, size, component, largest) that alike sets of one bucket join.
+
+    The sets of a bucket's members are packed in blocks, and so are those of its members outside the largest
+    component. Each of the latter blocks is sent to every one of the former, in whose task all sets of both are
+    compared in full. Only links that join what the task has not joined yet come out: fewer than it has components.
+    """
+    parts = lambda rows, name: rows.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / WEIGHT)).cast("int").alias(name))
+    outside = F.col("component") != F.col("largest")
+    counted = mixed.join(parts(mixed, "parts"), "band").join(parts(mixed.where(outside), "minor_parts"), "band")
+    places = F.array(
+        F.struct(F.lit(0).alias("kind"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")),
+        F.when(outside, F.struct(F.lit(1).alias("kind"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("minor_parts")).cast("int").alias("part"))),
+    )
+    dealt = counted.select("band", "parts", "node", "component", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("x")).select("band", "parts", "node", "component", "x.*")
+    blocks = C.written(_packed_sets(dealt.join(texts_of(docs), "node")), "blocks")
+    sent = blocks.where("kind = 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = blocks.where("kind = 0").unionByName(sent.select(*blocks.columns)).repartition("band", "part").sortWithinPartitions("band", "part", "kind")
+
+    def run(batches):
+        at, block, root = None, None, {}
+
+        def top(x):
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        for batch in batches:
+            links = []
+            for i in range(batch.num_rows):
+                band, part, kind, payload = (batch.column(k)[i].as_py() for k in ("band", "part", "kind", "payload"))
+                components, sizes, flat = _sets_of(payload)
+                first = np.r_[0, np.cumsum(sizes)]
+                if (band, part) != at:
+                    at, block, root = (band, part), None, {}
+                if kind == 0:
+                    vocabulary, own = np.unique(flat, return_inverse=True)
+                    block = components, sizes, vocabulary, own, first[:-1]
+                    continue
+                if block is None:
+                    continue
+                theirs, their_sizes, vocabulary, own, their_first = block
+                place = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+                known = vocabulary[place] == flat
+                for k, component in enumerate(components.tolist()):
+                    some = place[first[k] : first[k + 1]][known[first[k] : first[k + 1]]]
+                    if not len(some):
+                        continue
+                    has = np.zeros(len(vocabulary), np.int64)
+                    has[some] = 1
+                    both = np.add.reduceat(has[own], their_first)
+                    near = (100 * both >= SHARE * (their_sizes + sizes[k] - both)) & (both > 0) & (theirs != component)
+                    for other in np.unique(theirs[near]).tolist():
+                        x, y = top(component), top(other)
+                        if x != y:
+                            root[x] = y
+                            links.append((component, other))
+            if links:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["u", "v"])
+
+    return met.select("band", "part", "kind", "payload").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = C.written(described(docs), "sets")
     known = rows.where("d1 IS NOT NULL AND doc_id IS NOT NULL")
     classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    named = known.join(classes, ["d1", "d2"]).select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig"))
-    named = C.written(named, "classes")
+    is_head = F.col("doc_id") == F.col("node")
+    named = C.written(known.join(classes, ["d1", "d2"]).select("doc_id", "node", "n_shingles", F.when(is_head, F.col("bands")).alias("bands"), F.when(is_head, F.col("sig")).alias("sig")), "classes")
     heads = named.where("bands IS NOT NULL")
     sigs = heads.select("node", "sig").distinct()
-    in_bands = heads.select("node", F.explode("bands").alias("band")).distinct()
+    in_bands = heads.select("node", "n_shingles", F.explode("bands").alias("band")).groupBy("band", "node").agg(F.max("n_shingles").alias("size"))
     crowded = in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = C.written(in_bands.join(crowded, "band"), "buckets")
 
@@ -178,27 +290,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leader = members.join(crowd, "node").groupBy("band").agg(F.max_by("node", rank).alias("lead"))
     pairs = members.join(leader, "band").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
     pairs = pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v")
-    tried = C.written(pairs.where(likely(F.col("a"), F.col("b"), HASHES)).select("u", "v").distinct(), "pairs")
-    label = joined(None, C.written(confirmed(tried, docs), "links").unionByName(twice))
-
-    for star in range(1, STARS + 1):
-        # Members outside a bucket's largest component meet one member of that, another one each time.
-        mixed = _mixed(members, label)
-        if not mixed.limit(1).count():
-            break
-        lead = mixed.where("component = largest").groupBy("band").agg(F.min_by("node", F.xxhash64("node", F.lit(star))).alias("v"))
-        pairs = mixed.where("component <> largest").join(lead, "band").select(F.col("node").alias("u"), "v").distinct()
-        pairs = C.written(_untried(pairs, tried), "pairs")
-        tried = tried.unionByName(pairs)
-        label = joined(label, C.written(confirmed(pairs, docs), "links"))
+    pairs = C.written(pairs.where(likely(F.col("a"), F.col("b"), HASHES)).select("u", "v").distinct(), "pairs")
+    label = joined(None, C.written(confirmed(pairs, docs), "links").unionByName(twice))
+
     mixed = _mixed(members, label)
     if mixed.limit(1).count():
-        mixed = mixed.join(C.written(finely(mixed.select("node").distinct(), docs), "fine"), "node")
-        minor = mixed.where("component <> largest").select(F.col("band").alias("band_u"), F.col("node").alias("u"), F.col("component").alias("of_u"), F.col("fine").alias("fine_u"))
-        # The estimate is part of the join, so only likely pairs are rows of its result.
-        near = (F.col("band") == F.col("band_u")) & (F.col("component") != F.col("of_u")) & likely(F.col("fine"), F.col("fine_u"), FINE)
-        pairs = C.written(_untried(mixed.join(minor, near).select("u", F.col("node").alias("v")).distinct(), tried), "pairs")
-        label = joined(label, C.written(confirmed(pairs, docs), "links"))
+        label = joined(label, C.written(met_in_blocks(mixed, docs), "links"))
     by_node = named.select("doc_id", "node").distinct().join(label, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     by_doc = by_node.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")
@@ -207,19 +304,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
-    """band, node, component and largest for the members of buckets that hold several components."""
-    tagged = members.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    """band, node, size, component and largest for the members of buckets that hold several components."""
+    tagged = members.join(label, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("component"))
     parts = tagged.groupBy("band", "component").agg(F.count("*").alias("k"))
     several = parts.groupBy("band").agg(F.count("*").alias("kinds"), F.max_by("component", F.col("k") * (1 << 20) + F.pmod(F.xxhash64("component"), F.lit(1 << 20))).alias("largest")).where("kinds > 1")
     return C.written(tagged.join(several.select("band", "largest"), "band"), "mixed")
 
 
-def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    """pairs(u, v), in the order of ids and once each, that are not among tried."""
-    ordered = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    return ordered.join(tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
-
-
 def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """label(node, component) with links(u, v) added: only the components they join are gone through again."""
     if label is None:
