@@ -1,20 +1,24 @@
 """Nearest neighbours by collision counting, for the largest inner product.
 
 Largest inner product is made nearest distance by one more component: sqrt(M^2 - |x|^2) for a vector x, 0 for
-a query, where M is the largest norm of all. The index of a block of vectors holds, for each of PROJECTIONS
-random directions, the projections of its vectors in sorted order. A query opens in each array a window
-centred at its own projection, found by binary search, and every vector in the window collides once. Virtual
-rehashing widens all windows by the factor WIDEN until enough vectors have collided in at least THRESHOLD of
-the projections; those are verified with exact inner products in double precision. Enough is the number asked
-for and the share CANDIDATES of the block; no vector above the threshold is left out.
+a query, where M is the largest norm of all. The index of a block of vectors holds, for each of some
+directions (random orthogonal frames, PROJECTIONS in all), the projections of its vectors in sorted order. A query opens in
+each array a window centred at its own projection, found by binary search, and every vector in the window
+collides once. Virtual rehashing widens all windows by the factor WIDEN until enough vectors have collided in
+at least THRESHOLD of the projections, or all windows hold all; those are verified with exact inner products in
+double precision, summed component by component, so equal vectors have equal scores. Enough is the number asked
+for, FEWEST and the share CANDIDATES of the block; no vector above the threshold is left out.
 
 Candidate blocks and query blocks are packed rows of bounded size. Each query block meets every candidate
-block (a stated query set against all rows, in blocks); a task keeps the best of a query block over all the
-candidate blocks that it has, so what is shuffled is k rows for each query and task.
+block (a stated query set against all rows, in blocks); what is shuffled behind that is k rows for each query
+and candidate block.
 
 Edge cases: vectors that are null, empty, all zero or hold null or non-finite components, and rows without a
-vec_id, take no part. Vectors of each length are searched among their own. Rows that repeat a vec_id are candidates each; a query never finds rows of its own vec_id. Ties go to
-the smaller vec_id. With fewer candidates than asked for, all are returned. Extra columns are ignored.
+vec_id, take no part. Norms are taken of scaled vectors, so components of any size neither overflow nor vanish;
+a product that overflows is infinite, and one that is no number (infinities that cancel) is left out. Vectors of
+each length are searched among their own. Rows that repeat a vec_id are all searched and all found, but a query
+id lists each vec_id once, with its best score, and never its own. Ties go to the smaller vec_id. With fewer
+candidates than asked for, all are returned. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,24 +34,26 @@ from pyspark.sql import functions as F
 from . import common as C
 
 TOP = 20
-PROJECTIONS = 48
+#: Directions, at least: as many orthogonal frames as it takes, each with as many as a lifted vector has components.
+PROJECTIONS = 192
 #: Of the projections, how many a vector must collide in.
-THRESHOLD = 0.62
-#: Half width of the first windows, in units of sqrt(2) M, and the growth of later ones.
-FIRST, WIDEN = 0.05, 1.25
-CANDIDATES = 0.3
-CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 1024
-#: Candidates of one length are dealt over blocks of some LEAST_BLOCK, over BLOCKS at most while none is too large. The counts are
-#: those that six cores had when blocks still followed the cluster, so that the figures measured then hold.
-LEAST_BLOCK, BLOCKS = 2048, 6
+THRESHOLD = 0.6
+#: Half width of the first windows, in units of M, and the growth of later ones.
+FIRST, WIDEN = 0.6, 1.06
+#: Vectors of a block to verify, at least: a share and a number.
+CANDIDATES, FEWEST = 0.06, 256
+CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 512
+#: Candidates of one length are dealt over blocks of some LEAST_BLOCK, over BLOCKS at most while none is too large; while there are
+#: fewer than TASKS blocks, the query blocks are shared out over several tasks a block. All follows from the row count alone.
+LEAST_BLOCK, BLOCKS, TASKS = 4096, 12, 24
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (doubles) of the vectors that take part."""
+    """vec_id and v (doubles) of the vectors that take part, once each."""
     v = F.col("v")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & sound)
+    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & sound).dropDuplicates(["vec_id", "v"])
 
 
 def packed(rows: DataFrame, by: str, size: int, parts: int) -> DataFrame:
@@ -74,56 +80,98 @@ def packed(rows: DataFrame, by: str, size: int, parts: int) -> DataFrame:
     return rows.repartition(parts, by).select(by, "vec_id", "v").mapInArrow(run, f"{by} int, ids binary, vectors binary")
 
 
+def directions(dims: int, seed: int) -> np.ndarray:
+    """(dims, PROJECTIONS or more): random orthogonal frames, scaled so that a unit vector's projections have a mean square of 1."""
+    made = np.random.default_rng(seed).standard_normal((-(-PROJECTIONS // dims), dims, dims))
+    return np.concatenate([np.linalg.qr(x)[0] * np.sqrt(dims) for x in made], 1)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows, none zero, as unit vectors, whatever their size."""
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x**2).sum(1))[:, None]
+
+
 class Index:
-    """Sorted projections of a block of vectors, lifted to norm M."""
-
-    def __init__(self, x: np.ndarray, biggest: float, directions: np.ndarray):
-        lift = np.sqrt(np.maximum(biggest**2 - (x**2).sum(1), 0))
-        at = np.c_[x, lift] @ directions
-        self.order = np.argsort(at, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(at, self.order.astype(np.int64), 0)
-        self.biggest, self.directions, self.n = biggest, directions, len(x)
-
-    def collide(self, query: np.ndarray, wanted: int) -> np.ndarray:
-        """The vectors verified for a query, scaled to norm M: at least `wanted`, where there are so many."""
-        m = self.directions.shape[1]
-        centre = query @ self.directions[:-1]
-        half, least = FIRST * self.biggest * np.sqrt(2), int(np.ceil(THRESHOLD * m))
-        wanted = min(self.n, max(wanted, int(CANDIDATES * self.n)))
-        count = np.zeros(self.n, np.int64)
-        low = high = np.array([np.searchsorted(self.sorted[:, j], centre[j]) for j in range(m)])
-        while True:
-            new_low = np.array([np.searchsorted(self.sorted[:, j], centre[j] - half, "left") for j in range(m)])
-            new_high = np.array([np.searchsorted(self.sorted[:, j], centre[j] + half, "right") for j in range(m)])
-            new_low, new_high = np.minimum(new_low, low), np.maximum(new_high, high)
-            hit = [self.order[a:b, j] for j in range(m) for a, b in ((new_low[j], low[j]), (high[j], new_high[j])) if b > a]
-            if hit:
-                count += np.bincount(np.concatenate(hit), minlength=self.n)
-            low, high = new_low, new_high
-            found = np.flatnonzero(count >= least)
-            if len(found) >= wanted:
-                return found
-            half *= WIDEN
-
-
-def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to smaller ids."""
-    if len(score) > 4 * k:
-        some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-    else:
-        some = np.arange(len(score))
-    return some[np.lexsort((ids[some], -score[some]))[:k]]
+    """Sorted projections of a block of vectors, lifted to a common norm.
+
+    x holds the vectors, log2_norm the binary logarithm of the largest norm of all blocks.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, log2_norm: float, along: np.ndarray):
+        self.ids, self.n, self.along = ids, len(x), along
+        self.columns = np.ascontiguousarray(x.T)
+        whole = int(np.floor(log2_norm))
+        scaled, self.biggest = np.ldexp(x, -whole), 2.0 ** (log2_norm - whole)
+        at = np.c_[scaled, np.sqrt(np.maximum(self.biggest**2 - (scaled**2).sum(1), 0))] @ along
+        self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
+        self.sorted = np.take_along_axis(np.ascontiguousarray(at.T), self.order, 1)
+
+    def windows(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, directions) ends of the windows."""
+        ends = [np.array([np.searchsorted(row, c + by, side) for row, c in zip(self.sorted, centres.T, strict=True)]).T for by, side in ((-half, "left"), (half, "right"))]
+        return ends[0], ends[1]
+
+    def collide(self, queries: np.ndarray, wanted: int) -> Iterator[np.ndarray]:
+        """For each query the vectors to verify: at least `wanted`, where there are so many."""
+        centres = unit(queries) @ self.along[:-1] * self.biggest
+        least = int(np.ceil(THRESHOLD * self.along.shape[1]))
+        wanted = min(self.n, max(wanted, FEWEST, int(CANDIDATES * self.n)))
+        levels: list[tuple[np.ndarray, np.ndarray]] = []
+        for q in range(len(queries)):
+            count = np.zeros(self.n, np.int64)
+            low = high = None
+            level = 0
+            while True:
+                if level == len(levels):
+                    levels.append(self.windows(centres, FIRST * self.biggest * WIDEN**level))
+                new_low, new_high = (x[q].tolist() for x in levels[level])
+                if level == 0:
+                    hit = [row[a:b] for row, a, b in zip(self.order, new_low, new_high, strict=True)]
+                else:
+                    hit = [row[a:b] for row, a, b in zip(self.order, new_low, low, strict=True) if b > a]
+                    hit += [row[a:b] for row, a, b in zip(self.order, high, new_high, strict=True) if b > a]
+                if hit:
+                    count += np.bincount(np.concatenate(hit), minlength=self.n)
+                low, high = new_low, new_high
+                found = np.flatnonzero(count >= least)
+                if len(found) >= wanted or (max(low) == 0 and min(high) == self.n):
+                    break
+                level += 1
+            yield found if len(found) >= wanted else np.arange(self.n)
+
+    def nearest(self, me: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (ids, scores) of its k best verified vectors, of other ids than its own."""
+        for own, v, found in zip(me, queries, self.collide(queries, k + 1), strict=True):
+            found = found[self.ids[found] != own]
+            score = np.zeros(len(found))
+            with np.errstate(over="ignore", invalid="ignore"):
+                for column, y in zip(self.columns, v, strict=True):
+                    score += column[found] * y
+            yield best(self.ids[found], score, k)
+
+
+def best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k largest scores, each id once, ties to smaller ids; what is no number is left out."""
+    if np.isnan(score).any():
+        ids, score = ids[~np.isnan(score)], score[~np.isnan(score)]
+    order = np.lexsort((ids, -score))
+    first = np.sort(np.unique(ids[order], return_index=True)[1])[:k]
+    return ids[order[first]], score[order[first]]
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = TOP, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest candidates of each query, of its own length; both are usable() frames."""
-    shapes = candidates.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy("d").collect()
+    largest = F.array_max(F.transform("v", F.abs))
+    norm = F.log2(largest) + F.log2(F.aggregate(F.transform("v", lambda x: x / largest), F.lit(0.0), lambda s, x: s + x * x)) / 2
+    shapes = candidates.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("norm")).orderBy("d").collect()
     asked = {r["d"]: r["n"] for r in queries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    found = [_found(queries, candidates, s["d"], s["n"], asked[s["d"]], float(np.sqrt(s["m"])), k, seed) for s in shapes if s["d"] in asked]
+    found = [_found(queries, candidates, s["d"], s["n"], asked[s["d"]], s["norm"] + 1e-9, k, seed) for s in shapes if s["d"] in asked]
     if not found:
         return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id", "dims").orderBy(F.desc("score"), "vec_id"))
-    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def blocks(n: int) -> int:
@@ -131,41 +179,37 @@ def blocks(n: int) -> int:
     return max(1, -(-n // CANDIDATE_BLOCK), min(n // LEAST_BLOCK, BLOCKS))
 
 
-def _found(queries: DataFrame, candidates: DataFrame, dims: int, n: int, n_queries: int, biggest: float, k: int, seed: int) -> DataFrame:
-    """query_id, vec_id, score and dims of the best that each task has found for queries of one length among n candidates of that length."""
+def _found(queries: DataFrame, candidates: DataFrame, dims: int, n: int, n_queries: int, log2_norm: float, k: int, seed: int) -> DataFrame:
+    """query_id, vec_id and score of the best that each candidate block holds for queries of one length among n candidates of that length."""
     cells = blocks(n)
     groups = max(1, -(-n_queries // QUERY_BLOCK))
-    of = lambda rows, by, many: rows.where(F.size("v") == dims).select(F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int").alias(by), "vec_id", "v")
-    left = packed(of(candidates, "cell", cells), "cell", CANDIDATE_BLOCK, min(cells, 4096))
-    right = packed(of(queries, "group", groups), "group", QUERY_BLOCK, min(groups, 4096)).select("group", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    shares = min(groups, -(-TASKS // cells))
+    of = lambda rows, by, many: rows.where(F.size("v") == dims).select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(many)).cast("int").alias(by), "vec_id", "v")
+    left = packed(of(candidates, "cell", cells), "cell", CANDIDATE_BLOCK, min(cells, 4096)).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("kind", F.lit(0))
+    right = packed(of(queries, "group", groups), "group", QUERY_BLOCK, min(groups, 4096)).withColumn("share", F.col("group") % shares).withColumn("kind", F.lit(1))
     # A query block is sent to every candidate block; both are of bounded size.
-    sent = right.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), "*")
-    met = left.join(sent, "cell")
-    directions = np.random.default_rng(seed).standard_normal((dims + 1, PROJECTIONS))
+    sent = right.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    columns = ["cell", "share", "kind", "ids", "vectors"]
+    place = F.col("cell") * shares + F.col("share")
+    met = left.select(*columns).unionByName(sent.select(*columns)).repartitionById(cells * shares, place.cast("int")).sortWithinPartitions("cell", "share", "kind")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        top: dict[bytes, tuple] = {}
-        last, index, ids, x = None, None, None, None
+        at, held = None, []
+        along = directions(dims + 1, seed)
         for batch in batches:
             for i in range(batch.num_rows):
-                raw_ids, raw, q_ids, q = (batch.column(c)[i].as_py() for c in ("ids", "vectors", "q_ids", "q_vectors"))
-                if raw_ids != last:
-                    last, ids, x = raw_ids, np.frombuffer(raw_ids, np.int64), np.frombuffer(raw, np.float64).reshape(-1, dims)
-                    index = Index(x, biggest, directions)
-                asked, vectors = np.frombuffer(q_ids, np.int64), np.frombuffer(q, np.float64).reshape(-1, dims)
-                so_far = top.setdefault(q_ids, [(np.zeros(0), np.zeros(0, np.int64))] * len(asked))
-                for j, (me, v) in enumerate(zip(asked, vectors, strict=True)):
-                    found = index.collide(v * (biggest / np.sqrt((v**2).sum())), k + 1)
-                    found = found[ids[found] != me]
-                    score, vec = np.r_[so_far[j][0], x[found] @ v], np.r_[so_far[j][1], ids[found]]
-                    keep = best(score, vec, k)
-                    so_far[j] = score[keep], vec[keep]
-        for q_ids, lists in top.items():
-            many = [len(s) for s, _ in lists]
-            yield pa.record_batch([pa.array(np.repeat(np.frombuffer(q_ids, np.int64), many)), pa.array(np.concatenate([v for _, v in lists])), pa.array(np.concatenate([s for s, _ in lists]))], ["query_id", "vec_id", "score"])
-
-    found = met.select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id long, vec_id long, score double")
-    return found.withColumn("dims", F.lit(dims))
+                cell, share, kind, raw_ids, raw = (batch.column(c)[i].as_py() for c in columns)
+                if (cell, share) != at:
+                    at, held = (cell, share), []
+                ids, x = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw, np.float64).reshape(-1, dims)
+                if kind == 0:
+                    held.append(Index(ids, x, log2_norm, along))
+                    continue
+                for index in held:
+                    lists = list(index.nearest(ids, x, k))
+                    yield pa.record_batch([pa.array(np.repeat(ids, [len(v) for v, _ in lists])), pa.array(np.concatenate([v for v, _ in lists])), pa.array(np.concatenate([s for _, s in lists]))], ["query_id", "vec_id", "score"])
+
+    return met.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def op10_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import io
 import random
 
+from functools import reduce
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -105,11 +107,44 @@ def test_unsound_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [1.0, None]), (80, [float("nan"), 1.0]), (100, [float("inf"), 1.0]), (1, [0.5, 0.5]), (2, [0.5, -0.5]), (None, [1.0, 1.0]), (3, [1.0]), (4, []), (2, [0.5, -0.5])]
     table = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.search(table.where("vec_id % 20 = 0"), table).collect())
-    assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 2, 0.5)]
+    assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]  # an id is listed once
     assert neighbours.search(table.limit(0), table.limit(0)).count() == 0
     assert neighbours.search(table.where("vec_id % 20 = 7"), table).count() == 0
 
 
+def ranked(spark, rows, k=20):
+    table = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    out = {}
+    for r in sorted(neighbours.search(table.where("vec_id % 20 = 0"), table, k).collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+def test_copies_come_in_the_order_of_their_ids(spark):
+    same = np.random.default_rng(8).normal(size=37).tolist()
+    got = ranked(spark, [(k, same) for k in range(70)])
+    assert {q: [v for v, _ in found] for q, found in got.items()} == {q: [v for v in range(22) if v != q][:20] for q in (0, 20, 40, 60)}
+    assert len({s for found in got.values() for _, s in found}) == 1
+
+
+def test_rows_that_repeat_an_id_are_listed_once(spark):
+    rng = np.random.default_rng(9)
+    rows = [(0, rng.normal(size=5).tolist()) for _ in range(40)] + [(k, rng.normal(size=5).tolist()) for k in range(1, 16)]
+    got = ranked(spark, rows)[0]
+    assert sorted(v for v, _ in got) == list(range(1, 16))
+    product = lambda q, v: reduce(lambda s, x: s + x[0] * x[1], zip(q, v, strict=True), 0.0)  # noqa: E731  in the order of components
+    best = {k: max(product(q, v) for i, q in rows if i == 0) for k, v in rows[40:]}
+    assert got == sorted(((k, s) for k, s in best.items()), key=lambda x: (-x[1], x[0]))
+
+
+def test_norms_that_overflow_or_vanish(spark):
+    rows = [(0, [1e-200, 0.0, 0.0, 0.0]), (20, [1e200, 1e200, 0.0, 0.0]), (40, [5e-324, 0.0, 0.0, 0.0]), (1, [1.0, 2.0, 3.0, 4.0]), (2, [-1e200, 1e200, 0.0, 1.0]), (3, [1e308, 1e308, 1e308, 1e308]), (4, [2.0, -1.0, 0.0, 0.0])]
+    got = ranked(spark, rows)
+    assert [v for v, _ in got[0]] == [3, 20, 4, 1, 40, 2]
+    assert got[20][0] == (3, float("inf")) and [v for v, _ in got[20][1:]] == [1, 4, 0, 40]  # 2 cancels to no number
+    assert sorted(v for v, _ in got[40]) == [0, 1, 2, 3, 4, 20]
+
+
 def test_each_length_is_searched_among_its_own(spark):
     rows = [*vectors(3, 60, 4), *[(k + 100, v) for k, v in vectors(4, 30, 3)]]
     table = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
