@@ -4,9 +4,9 @@ Largest inner product is made nearest distance by one more component: sqrt(M^2 -
 a query, where M is the largest norm of all. The index of a block of vectors holds, for each of some
 directions (random orthogonal frames, PROJECTIONS in all), the projections of its vectors in sorted order. A query opens in
 each array a window centred at its own projection, found by binary search, and every vector in the window
-collides once. Virtual rehashing widens all windows by the factor WIDEN until enough vectors have collided in
+collides once. Virtual rehashing widens all windows by powers of WIDEN until enough vectors have collided in
 at least THRESHOLD of the projections, or all windows hold all; those are verified with exact inner products in
-double precision, summed component by component, so equal vectors have equal scores. Enough is the number asked
+double precision, added component by component, so equal vectors have equal scores. Enough is the number asked
 for, FEWEST and the share CANDIDATES of the block; no vector above the threshold is left out.
 
 Candidate blocks and query blocks are packed rows of bounded size. Each query block meets every candidate
@@ -34,26 +34,26 @@ from pyspark.sql import functions as F
 from . import common as C
 
 TOP = 20
-#: Directions, at least: as many orthogonal frames as it takes, each with as many as a lifted vector has components.
+#: Directions, out of orthogonal frames that have as many as a lifted vector has components. Counts are bytes.
 PROJECTIONS = 192
 #: Of the projections, how many a vector must collide in.
 THRESHOLD = 0.6
-#: Half width of the first windows, in units of M, and the growth of later ones.
-FIRST, WIDEN = 0.6, 1.06
+#: Half width of the narrowest windows, in units of M, the growth from level to level, and the level of the first query.
+FIRST, WIDEN, START = 0.3, 1.06, 20
 #: Vectors of a block to verify, at least: a share and a number.
 CANDIDATES, FEWEST = 0.06, 256
 CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 512
 #: Candidates of one length are dealt over blocks of some LEAST_BLOCK, over BLOCKS at most while none is too large; while there are
 #: fewer than TASKS blocks, the query blocks are shared out over several tasks a block. All follows from the row count alone.
-LEAST_BLOCK, BLOCKS, TASKS = 4096, 12, 24
+LEAST_BLOCK, BLOCKS, TASKS = 8192, 12, 24
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (doubles) of the vectors that take part, once each."""
+    """vec_id and v (doubles) of the vectors that take part."""
     v = F.col("v")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & sound).dropDuplicates(["vec_id", "v"])
+    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & sound)
 
 
 def packed(rows: DataFrame, by: str, size: int, parts: int) -> DataFrame:
@@ -81,9 +81,9 @@ def packed(rows: DataFrame, by: str, size: int, parts: int) -> DataFrame:
 
 
 def directions(dims: int, seed: int) -> np.ndarray:
-    """(dims, PROJECTIONS or more): random orthogonal frames, scaled so that a unit vector's projections have a mean square of 1."""
+    """(dims, PROJECTIONS): random orthogonal frames, scaled so that a unit vector's projections have a mean square of 1."""
     made = np.random.default_rng(seed).standard_normal((-(-PROJECTIONS // dims), dims, dims))
-    return np.concatenate([np.linalg.qr(x)[0] * np.sqrt(dims) for x in made], 1)
+    return np.concatenate([np.linalg.qr(x)[0] * np.sqrt(dims) for x in made], 1)[:, :PROJECTIONS]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -95,59 +95,68 @@ def unit(x: np.ndarray) -> np.ndarray:
 class Index:
     """Sorted projections of a block of vectors, lifted to a common norm.
 
-    x holds the vectors, log2_norm the binary logarithm of the largest norm of all blocks.
+    x holds the vectors, log2_norm the binary logarithm of the largest norm of all blocks. Each sorted array is cut into
+    256 steps of equally many vectors: a window is the steps that it meets, found by binary search among their edges,
+    and each vector keeps its step, so that collisions are counted by comparing bytes.
     """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, log2_norm: float, along: np.ndarray):
-        self.ids, self.n, self.along = ids, len(x), along
-        self.columns = np.ascontiguousarray(x.T)
+        self.ids, self.x, self.n, self.along = ids, x, len(x), along
+        self.unique = len(np.unique(ids)) == len(ids)
         whole = int(np.floor(log2_norm))
         scaled, self.biggest = np.ldexp(x, -whole), 2.0 ** (log2_norm - whole)
-        at = np.c_[scaled, np.sqrt(np.maximum(self.biggest**2 - (scaled**2).sum(1), 0))] @ along
-        self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
-        self.sorted = np.take_along_axis(np.ascontiguousarray(at.T), self.order, 1)
+        at = np.ascontiguousarray((np.c_[scaled, np.sqrt(np.maximum(self.biggest**2 - (scaled**2).sum(1), 0))] @ along).T)
+        order, steps = np.argsort(at, axis=1, kind="stable"), min(256, self.n)
+        self.edges = np.take_along_axis(at, order[:, np.arange(1, steps) * self.n // steps], 1)
+        self.step = np.empty(at.shape, np.uint8)
+        np.put_along_axis(self.step, order, (np.arange(self.n) * steps // self.n).astype(np.uint8)[None, :], 1)
 
     def windows(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
-        """(queries, directions) ends of the windows."""
-        ends = [np.array([np.searchsorted(row, c + by, side) for row, c in zip(self.sorted, centres.T, strict=True)]).T for by, side in ((-half, "left"), (half, "right"))]
-        return ends[0], ends[1]
+        """For each query and direction the first step that the window meets, and how many more it meets."""
+        first, last = (np.array([np.searchsorted(row, c + by, "right") for row, c in zip(self.edges, centres.T, strict=True)], np.uint8).T for by in (-half, half))
+        return np.ascontiguousarray(first)[:, :, None], np.ascontiguousarray(last - first)[:, :, None]
 
     def collide(self, queries: np.ndarray, wanted: int) -> Iterator[np.ndarray]:
-        """For each query the vectors to verify: at least `wanted`, where there are so many."""
+        """For each query the vectors to verify: at least `wanted`, where there are so many.
+
+        Windows start as wide as the query before needed them, are widened until enough vectors collide, and narrowed while far more do.
+        """
         centres = unit(queries) @ self.along[:-1] * self.biggest
         least = int(np.ceil(THRESHOLD * self.along.shape[1]))
         wanted = min(self.n, max(wanted, FEWEST, int(CANDIDATES * self.n)))
-        levels: list[tuple[np.ndarray, np.ndarray]] = []
+        levels: dict[int, tuple] = {}
+        level = START
+
+        def colliding(q):
+            if level not in levels:
+                levels[level] = self.windows(centres, FIRST * self.biggest * WIDEN**level)
+            first, more = levels[level]
+            count = np.add.reduce(((self.step - first[q]) <= more[q]).view(np.uint8), axis=0, dtype=np.uint8)
+            return np.flatnonzero(count >= least)
+
         for q in range(len(queries)):
-            count = np.zeros(self.n, np.int64)
-            low = high = None
-            level = 0
-            while True:
-                if level == len(levels):
-                    levels.append(self.windows(centres, FIRST * self.biggest * WIDEN**level))
-                new_low, new_high = (x[q].tolist() for x in levels[level])
-                if level == 0:
-                    hit = [row[a:b] for row, a, b in zip(self.order, new_low, new_high, strict=True)]
-                else:
-                    hit = [row[a:b] for row, a, b in zip(self.order, new_low, low, strict=True) if b > a]
-                    hit += [row[a:b] for row, a, b in zip(self.order, high, new_high, strict=True) if b > a]
-                if hit:
-                    count += np.bincount(np.concatenate(hit), minlength=self.n)
-                low, high = new_low, new_high
-                found = np.flatnonzero(count >= least)
-                if len(found) >= wanted or (max(low) == 0 and min(high) == self.n):
-                    break
+            found = colliding(q)
+            while len(found) < wanted:  # ends at last with windows that meet every step
                 level += 1
-            yield found if len(found) >= wanted else np.arange(self.n)
+                found = colliding(q)
+            while level > 0 and len(found) > 1.5 * wanted:
+                level -= 1
+                fewer = colliding(q)
+                if len(fewer) < wanted:
+                    level += 1
+                    break
+                found = fewer
+            yield found
 
     def nearest(self, me: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query (ids, scores) of its k best verified vectors, of other ids than its own."""
         for own, v, found in zip(me, queries, self.collide(queries, k + 1), strict=True):
             found = found[self.ids[found] != own]
-            score = np.zeros(len(found))
             with np.errstate(over="ignore", invalid="ignore"):
-                for column, y in zip(self.columns, v, strict=True):
-                    score += column[found] * y
+                score = np.cumsum(self.x[found] * v, axis=1)[:, -1]  # unlike a product of matrices, adds in one order
+                if self.unique and len(score) > 4 * k:
+                    some = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    found, score = (found[some], score[some]) if some.sum() >= k else (found, score)  # else some are no numbers
             yield best(self.ids[found], score, k)
 
 
@@ -160,13 +169,30 @@ def best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return ids[order[first]], score[order[first]]
 
 
+def _shapes(rows: DataFrame) -> list[tuple[int, int, float]]:
+    """(components, vectors, binary logarithm of the largest norm) of each length."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("v")
+            size, flat = np.asarray(column.value_lengths()), np.asarray(column.flatten())
+            first = np.cumsum(size) - size
+            for d in np.unique(size):
+                own = np.flatnonzero(size == d)
+                x = flat[first[own][:, None] + np.arange(d)]
+                largest = np.abs(x).max(1)
+                norm = np.log2(largest) + np.log2(((x / largest[:, None]) ** 2).sum(1)) / 2
+                yield pa.record_batch([pa.array([d], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([norm.max()])], ["d", "n", "norm"])
+
+    found = rows.select("v").mapInArrow(run, "d int, n long, norm double").groupBy("d").agg(F.sum("n").alias("n"), F.max("norm").alias("norm"))
+    return [(r["d"], r["n"], r["norm"]) for r in found.orderBy("d").collect()]
+
+
 def search(queries: DataFrame, candidates: DataFrame, k: int = TOP, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest candidates of each query, of its own length; both are usable() frames."""
-    largest = F.array_max(F.transform("v", F.abs))
-    norm = F.log2(largest) + F.log2(F.aggregate(F.transform("v", lambda x: x / largest), F.lit(0.0), lambda s, x: s + x * x)) / 2
-    shapes = candidates.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("norm")).orderBy("d").collect()
-    asked = {r["d"]: r["n"] for r in queries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    found = [_found(queries, candidates, s["d"], s["n"], asked[s["d"]], s["norm"] + 1e-9, k, seed) for s in shapes if s["d"] in asked]
+    shapes = _shapes(candidates)
+    asked = {d: n for d, n, _ in _shapes(queries)}
+    found = [_found(queries, candidates, d, n, asked[d], norm + 1e-9, k, seed) for d, n, norm in shapes if d in asked]
     if not found:
         return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     once = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -184,7 +210,8 @@ def _found(queries: DataFrame, candidates: DataFrame, dims: int, n: int, n_queri
     cells = blocks(n)
     groups = max(1, -(-n_queries // QUERY_BLOCK))
     shares = min(groups, -(-TASKS // cells))
-    of = lambda rows, by, many: rows.where(F.size("v") == dims).select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(many)).cast("int").alias(by), "vec_id", "v")
+    # Equal rows are one, so none is a hot group.
+    of = lambda rows, by, many: rows.where(F.size("v") == dims).dropDuplicates(["vec_id", "v"]).select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(many)).cast("int").alias(by), "vec_id", "v")
     left = packed(of(candidates, "cell", cells), "cell", CANDIDATE_BLOCK, min(cells, 4096)).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("kind", F.lit(0))
     right = packed(of(queries, "group", groups), "group", QUERY_BLOCK, min(groups, 4096)).withColumn("share", F.col("group") % shares).withColumn("kind", F.lit(1))
     # A query block is sent to every candidate block; both are of bounded size.
