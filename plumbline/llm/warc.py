@@ -1,12 +1,12 @@
 """WARC archives in Zstandard: a dictionary in a leading skippable frame, then one frame for each record.
 
 Writing: rows are dealt over archives of about ARCHIVE_BYTES, written by the executors under the shared
-folder, each under a name of its attempt and then renamed, so that a task that runs again replaces its own
-archive. The dictionary is trained on the archive's own first records. Of equal payloads of at least
+folder, each under a name of its attempt. What is read back are the archives that the attempts that ended
+well have returned, so a task that dies, or runs twice, adds no record. The dictionary is trained on the archive's own first records. Of equal payloads of at least
 MIN_REVISIT bytes the one with the smallest page_id is a response; the others are revisit records, whose
 block holds only the HTTP header (with the payload's length) and refer to it.
 
-Reading: the dictionary comes from the leading skippable frame; every further frame is decoded on its own and
+Reading: an archive is read in slices, so it may be of any size; a record is held in memory. The dictionary comes from the leading skippable frame; every further frame is decoded on its own and
 must hold exactly one record, whose version line, mandatory headers, block length and payload digest are
 checked. A frame that fails raises ValueError with the archive's name and the frame's offset.
 
@@ -18,6 +18,7 @@ of any length is one frame. An empty table gives no archive and no row. Extra co
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ ARCHIVE_BYTES = 16 << 20
 #: Fixed values of the format: the skippable frame of the dictionary, a data frame, and a dictionary.
 DICT_FRAME, DATA_FRAME, DICT_MAGIC = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 DICT_BYTES, SAMPLE_RECORDS = 16 << 10, 200
+#: Bytes read of an archive at a time.
+SLICE = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -120,38 +123,55 @@ def parse(raw: bytes, where: str) -> dict:
     return {"fields": fields, "payload_bytes": length, "payload_digest": digest.removeprefix("sha256:"), "payload": payload}
 
 
-def frames(raw: memoryview, where: str) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of each frame behind the dictionary's."""
-    if len(raw) < 8 or struct.unpack_from("<I", raw)[0] != DICT_FRAME:
+def frames(source, where: str) -> Iterator[tuple[int, bytes]]:
+    """(offset, record) of each frame behind the dictionary's. source: bytes, or an open file, which is read in slices."""
+    if not hasattr(source, "read"):
+        source = io.BytesIO(source)
+    head = source.read(8)
+    if len(head) < 8 or struct.unpack_from("<I", head)[0] != DICT_FRAME:
         raise Invalid(f"{where}: no leading dictionary frame")
-    size = struct.unpack_from("<I", raw, 4)[0]
-    made = bytes(raw[8 : 8 + size])
+    size = struct.unpack_from("<I", head, 4)[0]
+    made = source.read(size)
     if len(made) != size:
         raise Invalid(f"{where}: the dictionary frame is cut off")
     if made[:4] == struct.pack("<I", DATA_FRAME):
         made = zstd.ZstdDecompressor().decompress(made)
     kind = zstd.DICT_TYPE_FULLDICT if made[:4] == struct.pack("<I", DICT_MAGIC) else zstd.DICT_TYPE_RAWCONTENT
     coder = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(made, dict_type=kind))
-    at = 8 + size
-    while at < len(raw):
-        if len(raw) - at < 4 or struct.unpack_from("<I", raw, at)[0] != DATA_FRAME:
+    at, held = 8 + size, source.read(SLICE)
+    while held:
+        if len(held) < 4:
+            held += source.read(SLICE)
+        if len(held) < 4 or struct.unpack_from("<I", held)[0] != DATA_FRAME:
             raise Invalid(f"{where}: no frame at {at}")
-        one = coder.decompressobj()
+        one, out, fed = coder.decompressobj(), [], 0
         try:
-            out = [one.decompress(raw[at:])]
+            while held and not one.eof:
+                out.append(one.decompress(held))
+                fed += len(held)
+                held = one.unused_data if one.eof else source.read(SLICE)
         except zstd.ZstdError as e:
             raise Invalid(f"{where}: frame at {at}: {e}") from e
         if not one.eof:
             raise Invalid(f"{where}: the frame at {at} is cut off")
         yield at, b"".join(out)
-        at = len(raw) - len(one.unused_data)
+        at += fed - len(held)
+        held = held or source.read(SLICE)
+
+
+def opened(path: str):
+    """(file system, path within it)."""
+    return (pafs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")) if path.startswith(("file:", "/")) else pafs.FileSystem.from_uri(path)
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes roles(pages) as archives under folder; one row an archive: path, n_records. Lazy: the write happens when it is read."""
+    """Writes roles(pages) as archives under folder; one row an archive: path, n_records. Lazy: the write happens when it is read.
+
+    The rows are the archives of the attempts that ended well. What others leave has other names and is never read.
+    """
 
     def run(batches):
-        fs, base = (pafs.LocalFileSystem(), folder.removeprefix("file://").removeprefix("file:")) if folder.startswith(("file:", "/")) else pafs.FileSystem.from_uri(folder)
+        fs, base = opened(folder)
         fs.create_dir(base, recursive=True)
         from pyspark import TaskContext
 
@@ -172,16 +192,14 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     budget[0] -= len(r)
                     yield r
 
-            name = f"{base}/part-{task.partitionId():06d}-{k:04d}.warc.zst"
-            temp = f"{name}.{task.taskAttemptId()}"
-            with fs.open_output_stream(temp, compression=None) as sink:
+            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{k:04d}.warc.zst"
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as sink:
                 n = archive(some(), sink)
             if not n:
-                fs.delete_file(temp)
+                fs.delete_file(f"{base}/{name}")
                 return
-            fs.move(temp, name)
             k += 1
-            yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], ["path", "n_records"])
+            yield pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], ["path", "n_records"])
 
     return pages.mapInArrow(run, "path string, n_records long")
 
@@ -189,38 +207,37 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, archive string, frame_at long"
 
 
-def read(spark, folder: str, payloads: bool = True) -> DataFrame:
-    """Every record of the archives under folder: READ, without the payloads' bytes if payloads is False."""
+def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """Every record of archives(path): READ, without the payloads' bytes if payloads is False."""
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                path, raw = batch.column(0)[i].as_py(), memoryview(batch.column(1)[i].as_buffer())
+            for path in batch.column("path").to_pylist():
+                fs, place = opened(path)
                 rows: list[tuple] = []
                 size = 0
-                for at, one in frames(raw, path):
-                    r = parse(one, f"{path}: frame at {at}")
-                    f = r["fields"]
-                    number = lambda name: int(f[name]) if name in f else None  # noqa: B023, E731
-                    rows.append((number("warc-page-id"), f.get("warc-target-uri"), r["payload_bytes"], r["payload_digest"], f["warc-type"], number("warc-refers-to-page-id"), r["payload"] if payloads else None, path, at))
-                    size += len(r["payload"]) * payloads + 200
-                    if size > 4 << 20:
-                        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                        rows, size = [], 0
+                with fs.open_input_stream(place, compression=None) as source:
+                    for at, one in frames(source, path):
+                        r = parse(one, f"{path}: frame at {at}")
+                        f = r["fields"]
+                        number = lambda name: int(f[name]) if name in f else None  # noqa: B023, E731
+                        rows.append((number("warc-page-id"), f.get("warc-target-uri"), r["payload_bytes"], r["payload_digest"], f["warc-type"], number("warc-refers-to-page-id"), r["payload"] if payloads else None, path, at))
+                        size += len(r["payload"]) * payloads + 200
+                        if size > 4 << 20:
+                            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                            rows, size = [], 0
                 if rows:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "archive", "frame_at"]
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content").mapInArrow(run, READ)
+    return archives.select("path").mapInArrow(run, READ)
 
 
 def op2_warc_round_trip(spark, sf_dir: str) -> DataFrame:
-    folder = C.new_path(spark, "warc")
-    n = write(roles(C.table(spark, sf_dir, "pages")), folder).agg(F.sum("n_records")).first()[0]
-    if not n:
-        return spark.createDataFrame([], READ).drop("url", "payload", "archive", "frame_at")
-    return read(spark, folder, payloads=False).drop("url", "payload", "archive", "frame_at")
+    archives = C.written(write(roles(C.table(spark, sf_dir, "pages")), C.new_path(spark, "warc")), "archives")
+    # An archive is a task.
+    return read(archives.repartition(max(1, archives.count())), payloads=False).drop("url", "payload", "archive", "frame_at")
 
 
 SQL = """

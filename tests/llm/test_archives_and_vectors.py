@@ -16,8 +16,9 @@ from plumbline.llm import common, neighbours, warc
 def round_trip(spark, rows):
     folder = common.new_path(spark, "test")
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("first", F.lit(1)).repartition(3)
-    assert (warc.write(warc.roles(pages), folder).agg(F.sum("n_records")).first()[0] or 0) == len(rows)
-    return warc.read(spark, folder).collect() if rows else []
+    archives = common.written(warc.write(warc.roles(pages), folder), "archives")
+    assert (archives.agg(F.sum("n_records")).first()[0] or 0) == len(rows)
+    return warc.read(archives).collect()
 
 
 def test_round_trip(spark, monkeypatch):
@@ -41,6 +42,38 @@ def test_round_trip(spark, monkeypatch):
     assert len({r.archive for r in got}) > 3
 
 
+def test_archives_of_dead_attempts_are_not_read(spark):
+    folder = common.new_path(spark, "test")
+    pages = spark.createDataFrame([(k, "u", f"page {k} " * 30) for k in range(20)], "page_id long, url string, html string")
+    common.written(warc.write(warc.roles(pages), folder), "dead")
+    archives = common.written(warc.write(warc.roles(pages), folder), "archives")
+    assert sorted(r.page_id for r in warc.read(archives).collect()) == list(range(20))
+
+
+def test_many_records_and_long_ones_cross_slices(monkeypatch):
+    rng = random.Random(4)
+    records = [one(k, rng.randbytes(n)) for k, n in enumerate([10] * 300 + [200_000, 3, 70_000] + [warc.SLICE] * 3)]
+    raw = archive(records)
+    found = list(warc.frames(raw, "x"))
+    assert [r for _, r in found] == records
+    for size in (5, 1000):
+        monkeypatch.setattr(warc, "SLICE", size)
+        assert list(warc.frames(io.BytesIO(raw), "x")) == found
+
+
+def test_reading_is_linear_in_the_number_of_records():
+    """Bytes handed to the decoder twice (what is left of a slice) stay within a slice a record."""
+    raw, read = archive([one(k, random.Random(k).randbytes(300)) for k in range(4000)]), []
+
+    class Source(io.BytesIO):
+        def read(self, n=-1):
+            read.append(n)
+            return super().read(n)
+
+    assert sum(1 for _ in warc.frames(Source(raw), "x")) == 4000
+    assert max(read) <= warc.DICT_BYTES and len(read) <= len(raw) / warc.SLICE + 5
+
+
 def test_empty(spark):
     assert round_trip(spark, []) == []
 
