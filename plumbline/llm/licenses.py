@@ -177,8 +177,8 @@ def detect(text: bytes, hit: set[int], compiled: list) -> list[tuple[int, int, i
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<label:string,first_word:long,n_words:long,priority:int>>"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Licence detections of every document: SCHEMA, one row per row of docs(doc_id, text)."""
+def scan(docs: DataFrame, detections: bool = True) -> DataFrame:
+    """Licence detections of every document: SCHEMA, one row per row of docs(doc_id, text); the list of detections on demand."""
 
     def run(batches):
         automaton, compiled, base = scanner()
@@ -197,7 +197,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 starts = sorted(x for v in found.values() for x in v)
                 hit = {rule for _, some in automaton.iter(text.decode("latin-1")) for rule in some}
                 kept = detect(text, hit, compiled) if hit else []
-                at = lambda x: text.count(b" ", 0, x + 1) - 1  # noqa: B023, E731  the word that starts behind the space at x
+                blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32) if starts or kept else None
+                at = lambda x: int(np.searchsorted(blanks, x))  # noqa: B023, E731  the word that starts behind the space at x
                 labels = {label for label, v in found.items() if v}
                 rows["n_words"].append(len(words))
                 rows["n_base"].append(len(starts))
@@ -205,8 +206,11 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows["last_word"].append(at(starts[-1]) if starts else None)
                 rows["base_labels"].append(",".join(sorted(labels)))
                 rows["labels"].append(",".join(sorted(labels | {d[3] for d in kept})))
-                rows["score"].append(1.0 - float(np.prod([1.0 - w for w in {d[3]: d[4] for d in kept}.values()] or [1.0])))
-                rows["detections"].append([{"label": d[3], "first_word": at(d[0] - 1), "n_words": text.count(b" ", d[0], d[1]) + 1, "priority": d[2]} for d in kept])
+                heaviest: dict[str, float] = {}
+                for d in kept:
+                    heaviest[d[3]] = max(d[4], heaviest.get(d[3], 0.0))
+                rows["score"].append(1.0 - float(np.prod([1.0 - heaviest[label] for label in sorted(heaviest)] or [1.0])))
+                rows["detections"].append(None if not detections else [{"label": d[3], "first_word": at(d[0] - 1), "n_words": text.count(b" ", d[0], d[1]) + 1, "priority": d[2]} for d in kept])
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("priority", pa.int32())]))]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True))], ["doc_id", *rows])
 
@@ -214,4 +218,4 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(C.table(spark, sf_dir, "documents")).drop("detections")
+    return scan(C.table(spark, sf_dir, "documents"), detections=False).drop("detections")

@@ -138,6 +138,27 @@ def wordings(parsed):
     return out
 
 
+def test_labels_and_scores_against_a_plain_scan(spark):
+    """Every rule run over every text without the prefilter, containment judged pair by pair, words counted from the start."""
+    rows = [(1, "Licensed under the MIT License. MIT license!"), (2, "GNU General Public License version 2 or later; gpl 3"), (3, "CC BY-SA 4.0 and cc by, all rights reserved. (C) copyright 2020"), (4, "nothing"), (5, None), (6, "apache license 2.0 " * 300), (7, "SPDX-License-Identifier: GPL-2.0-only\nredistribution and use in source and binary forms")]
+    _, compiled, _ = licenses.scanner()
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    for k, text in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        joined = (" " + " ".join(words) + " ").encode()
+        found = [(m.start(), m.end(), priority, rule, label, weight) for rule, (label, priority, weight, pattern) in enumerate(compiled) for m in pattern.finditer(joined) if m.end() > m.start()]
+        stronger = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and ((y[2] > x[2]) or (y[2] == x[2] and (y[1] - y[0], -y[3]) > (x[1] - x[0], -x[3])))
+        left = [x for x in found if not any(stronger(x, y) for y in found if y is not x)]
+        base = {label for phrase, label in licenses.BASE if f" {phrase} ".encode() in joined}
+        assert got[k].labels == ",".join(sorted(base | {x[4] for x in left}))
+        keep = 1.0
+        for label in {x[4] for x in left}:
+            keep *= 1 - max(x[5] for x in left if x[4] == label)
+        assert abs(got[k].score - (1 - keep)) < 1e-12
+        assert sorted((d.first_word, d.n_words, d.label) for d in got[k].detections) == sorted((joined[: x[0]].count(b" ") - 1, joined[x[0] : x[1]].count(b" ") + 1, x[4]) for x in left)
+        assert licenses.scan(frame(spark, rows[:1]), detections=False).first().detections is None
+
+
 def test_the_prefilter_loses_no_rule():
     automaton, compiled, _ = licenses.scanner()
     for rule, (label, _, _, _, pattern) in enumerate(licenses.rules()):
