@@ -1,14 +1,17 @@
-"""Exact repeats of at least `length` tokens across documents of any number, without pairs.
+"""Exact repeats of at least `length` tokens across documents of any number, without pairs of copies.
 
 A window is `length` successive tokens of one document. Which windows stand earlier elsewhere is found thus:
 
 1. Anchors. Of the `gram`-token hashes in a window the smallest is its anchor (winnowing): equal windows have
    equal anchors. Successive windows with one anchor form a run, which a content hash of all its tokens names.
-2. Runs are dealt by anchor, packed into binary rows. A task of the map side first settles the runs whose
-   content it has seen in an earlier document itself, so a passage with millions of copies is sent once a task,
-   and an anchor with over HOT contents in a task goes to step 3 at once, leaving a marker. Where a run's content
-   stands earlier, all its windows repeat. A first content whose anchor also has other contents stays open.
-3. Open runs are read again from their texts and their windows dealt by window hash, which settles them.
+2. Runs are dealt by anchor, packed into binary rows, and joined on it. A task of the map side first settles the
+   runs whose content it has seen in an earlier document itself, so a passage with millions of copies is sent
+   once a task. Where a run's content stands earlier, all its windows repeat, and nothing is left to extend. The
+   first run of each content whose anchor also has other contents stays open.
+3. Open runs are read again from their texts and dealt by anchor with all their tokens: the anchor with as much
+   on either side as its windows reach. The operator's index extends or sorts them, and finds every window of
+   theirs that stands earlier. What holds of the hottest anchors: where a task has over HOT contents of one, or all
+   tasks over CONTENTS, its windows are dealt by the hash of all their tokens instead, the longest seed there is.
 4. What was found joins the texts by document, as packed rows in buckets of documents.
 
 Every text crosses the network twice at most; what is held in memory is a task's share of runs, or the findings
@@ -34,12 +37,14 @@ GATHER = 1 << 18
 HOT = 32
 #: Longest run of windows kept as one; a longer one is cut at this distance from its start.
 LONGEST = 1 << 15
-RUNS, DUP, OPEN, TEXT = 0, 1, 2, 3
+#: Contents of one anchor that are held against each other at most.
+CONTENTS = 128
+RUNS, DUP, OPEN, SPREAD, TEXT, CONTEXT = range(6)
 
 
 @dataclass(frozen=True)
 class Kind:
-    """unit: byte or word. by_place: an earlier start in the same document counts as earlier too. index: collects sorted entries."""
+    """unit: byte or word. by_place: an earlier start in the same document counts as earlier too. index: what settles open runs."""
 
     unit: str
     length: int
@@ -150,7 +155,7 @@ def facts_of(kind: int, n: int, ids: np.ndarray, prints: np.ndarray, start: np.n
 
 
 class Joined:
-    """Entries met in one join on their key: the plain index."""
+    """Entries met in one join on their key."""
 
     def __init__(self, by_place: bool):
         self.by_place, self.parts = by_place, []
@@ -221,7 +226,7 @@ def find_runs(docs: DataFrame, kind: Kind, n: int) -> DataFrame:
             head = np.flatnonzero(np.r_[True, (key[1:] >> C.U64(32)) != (key[:-1] >> C.U64(32))])
             contents = np.add.reduceat(np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1])].astype(np.int64), head)
             hot = np.repeat(contents > HOT, np.diff(np.r_[head, len(key)]))
-            out += facts_of(OPEN, n, *(c[hot] for c in (doc, mark, start, size)))
+            out += facts_of(SPREAD, n, *(c[hot] for c in (doc, mark, start, size)))
             marker = head[contents > HOT]
             send = np.r_[np.flatnonzero(~hot), marker]
             size = np.r_[size[~hot], np.zeros(len(marker), size.dtype)]
@@ -244,11 +249,11 @@ def _numbered(ids: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return a[new], b[new], number
 
 
-def settle(shuffled: DataFrame, kind: Kind, n: int, windows: bool) -> DataFrame:
-    """Reduce side of steps 2 and 3: SHUFFLED rows, where p is now the bucket of documents, and kind DUP or OPEN."""
+def settle(shuffled: DataFrame, kind: Kind, n: int, opened: bool) -> DataFrame:
+    """Reduce side of steps 2 and 3 (opened): SHUFFLED rows, where p is now the bucket of documents, and kind DUP, OPEN or SPREAD."""
 
     def run(batches):
-        index = kind.index(kind.by_place)
+        joined, index = Joined(kind.by_place), kind.index(kind)
         found: list[list[np.ndarray]] = []
 
         def packed_facts():
@@ -258,29 +263,86 @@ def settle(shuffled: DataFrame, kind: Kind, n: int, windows: bool) -> DataFrame:
 
         for batch in batches:
             sort, payload = batch.column("kind").to_pylist(), batch.column("payload")
-            if passed := [k for k, x in enumerate(sort) if x != RUNS]:
+            if passed := [k for k, x in enumerate(sort) if x not in (RUNS, CONTEXT)]:
                 yield batch.take(pa.array(passed))
             for k, x in enumerate(sort):
                 if x == RUNS:
                     doc, mark, key, low, start, size = unpacked(payload[k].as_buffer(), ENTRY)
-                    found += index.add([key, low, doc, mark, start, size])
+                    found += joined.add([key, low, doc, mark, start, size])
+                elif x == CONTEXT:
+                    found += index.add(Contexts.unpacked(payload[k].as_buffer(), kind))
             if sum(len(f[0]) for f in found) > GATHER:
                 yield from packed_facts()
-        first, repeats = index.close()
+        first, repeats = joined.close()
         found += repeats
+        for more in index.close():
+            found.append(more)
+            if sum(len(f[0]) for f in found) > GATHER:
+                yield from packed_facts()
         yield from packed_facts()
-        if first is not None and len(first[0]) and not windows:
+        if first is not None and len(first[0]) and not opened:
             key, low, doc, mark, start, size = first
             head = np.flatnonzero(np.r_[True, (key[1:] >> C.U64(32)) != (key[:-1] >> C.U64(32))])
             many = np.diff(np.r_[head, len(key)])
             differs = np.r_[False, (key[1:] != key[:-1]) | (low[1:] != low[:-1])] | (size == 0)
-            opened = np.repeat(np.logical_or.reduceat(differs & ~_is_head(head, len(key), size), head), many) & (size > 0)
-            if out := facts_of(OPEN, n, *(c[opened] for c in (doc, mark, start, size))):
+            differs &= ~_is_head(head, len(key), size)
+            several = np.repeat(np.logical_or.reduceat(differs, head), many) & (size > 0)
+            hot = np.repeat(np.logical_or.reduceat(size == 0, head) | (np.add.reduceat(differs.astype(np.int64), head) >= CONTENTS), many)
+            out = [row for sort, some in ((OPEN, several & ~hot), (SPREAD, several & hot)) for row in facts_of(sort, n, *(c[some] for c in (doc, mark, start, size)))]
+            if out:
                 yield row_batch(out)
 
     return shuffled.mapInArrow(run, SHUFFLED)
 
 
+@dataclass
+class Contexts:
+    """Open runs: anchor, document, print, start and windows of each, the anchor's place behind the start, and tokens[first[k] : first[k + 1]]."""
+
+    anchor: np.ndarray
+    doc: np.ndarray
+    print: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    place: np.ndarray
+    tokens: np.ndarray
+    first: np.ndarray
+
+    def packed(self, some: np.ndarray) -> bytes:
+        many = np.diff(self.first)[some]
+        at = np.repeat(self.first[some] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        parts = [np.array([len(some)], np.int64), *(x[some] for x in (self.anchor, self.doc, self.print)), *(x[some].astype(np.uint32) for x in (self.start, self.size, self.place)), self.tokens[at]]
+        return zstd.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts))
+
+    @classmethod
+    def unpacked(cls, raw: bytes, kind: Kind) -> Contexts:
+        data = zstd.ZstdDecompressor().decompress(raw)
+        n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+        for sort in ("u8", "i8", "i8", "u4", "u4", "u4"):
+            x = np.frombuffer(data, sort, n, at)
+            at += x.nbytes
+            out.append(x.astype(np.int64) if sort == "u4" else x)
+        return cls(*out, np.frombuffer(data, np.uint8 if kind.unit == "byte" else C.U64, offset=at), np.r_[0, np.cumsum(out[4] + kind.length - 1)])
+
+    @classmethod
+    def joined(cls, parts: list[Contexts]) -> Contexts:
+        names = ("anchor", "doc", "print", "start", "size", "place", "tokens")
+        return cls(*(np.concatenate([getattr(p, name) for p in parts]) for name in names), np.r_[0, np.cumsum(np.concatenate([np.diff(p.first) for p in parts]))])
+
+
+def contexts(doc: int, mark: int, data: np.ndarray, start: np.ndarray, size: np.ndarray, kind: Kind) -> Contexts:
+    """The open runs of a text, given as bytes. The anchor is the leftmost smallest gram of a run's last window, which all its windows hold."""
+    codes, _ = tokens(kind.unit, data, np.array([0, len(data)]))
+    grams = C.gram_hashes(codes, kind.gram)
+    last = start + size - 1
+    near = grams[last[:, None] + np.arange(kind.length - kind.gram + 1)]
+    place = near.argmin(1)
+    many = size + kind.length - 1
+    at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    n = len(start)
+    return Contexts(near[np.arange(n), place], np.full(n, doc), np.full(n, mark), start, size, last + place - start, (data if kind.unit == "byte" else codes)[at], np.r_[0, np.cumsum(many)])
+
+
 def _is_head(head: np.ndarray, n: int, size: np.ndarray) -> np.ndarray:
     """The first entry of each anchor differs from nothing, unless it is a marker."""
     out = np.zeros(n, bool)
@@ -296,7 +358,7 @@ def with_facts(facts: DataFrame, docs: DataFrame, n: int) -> DataFrame:
 
 
 def by_bucket(batches):
-    """(rows of texts, their findings) for stretches of rows of one bucket; findings(doc_id, print) gives starts and sizes."""
+    """(rows of texts, their findings) for stretches of rows of one bucket; findings(doc_id, print) gives starts, sizes and kinds."""
     at, parts, found = None, [], {}
     for batch in batches:
         bucket, sort = np.asarray(batch.column("p")), np.asarray(batch.column("kind"))
@@ -305,24 +367,40 @@ def by_bucket(batches):
             if bucket[a] != at:
                 at, parts, found = bucket[a], [], {}
             if sort[a] != TEXT:
-                parts += [unpacked(x.as_buffer(), FACT) for x in batch.column("payload").slice(a, b - a)]
+                for k in range(a, b):
+                    entries = unpacked(batch.column("payload")[k].as_buffer(), FACT)
+                    parts.append([*entries, np.full(len(entries[0]), sort[k])])
                 continue
             if parts:
-                doc, mark, start, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+                doc, mark, start, size, what = (np.concatenate(c) for c in zip(*parts, strict=True))
                 order = np.lexsort((start, mark, doc))
-                doc, mark, start, size = doc[order], mark[order], start[order].astype(np.int64), size[order].astype(np.int64)
+                doc, mark, start, size, what = doc[order], mark[order], start[order].astype(np.int64), size[order].astype(np.int64), what[order]
                 head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])
-                found = {(int(doc[i]), int(mark[i])): (start[i:j], size[i:j]) for i, j in zip(head, np.r_[head[1:], len(doc)], strict=True)}
+                found = {(int(doc[i]), int(mark[i])): (start[i:j], size[i:j], what[i:j]) for i, j in zip(head, np.r_[head[1:], len(doc)], strict=True)}
                 parts = []
             yield batch.slice(a, b - a), found
 
 
-def find_windows(together: DataFrame, kind: Kind, n: int) -> DataFrame:
-    """Step 3, map side: the windows of open runs as SHUFFLED rows, dealt by window hash."""
+def find_opened(together: DataFrame, kind: Kind, n: int) -> DataFrame:
+    """Step 3, map side: open runs with their tokens as SHUFFLED rows, dealt by anchor, and the windows of the hottest anchors' runs, dealt by window hash."""
 
     def run(batches):
         held: list[list[np.ndarray]] = []
-        size = 0
+        opened: list[Contexts] = []
+        size, done = 0, set()
+
+        def out():
+            rows = _sent(held, kind, n) if held else []
+            if opened:
+                every = Contexts.joined(opened)
+                bucket = ((every.anchor >> C.U64(32)) % C.U64(n)).astype(np.int32)
+                order = np.lexsort((every.anchor, bucket))
+                cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1], True])
+                rows += [(int(bucket[order[a]]), CONTEXT, every.packed(order[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            held.clear()
+            opened.clear()
+            return [row_batch(rows)] if rows else []
+
         for rows, found in by_bucket(batches):
             ids, prints = (np.asarray(rows.column(k)) for k in ("doc_id", "print"))
             some = [k for k, key in enumerate(zip(ids.tolist(), prints.tolist(), strict=True)) if key in found]
@@ -330,18 +408,26 @@ def find_windows(together: DataFrame, kind: Kind, n: int) -> DataFrame:
                 continue
             data, offsets = C.column_bytes(rows.column("text"))
             for k in some:
-                starts, sizes = found[ids[k], prints[k]]
-                starts, ends = C.merged(starts, starts + sizes)
-                codes, _ = tokens(kind.unit, data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))
-                many = ends - starts
-                at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                held.append([C.gram_hashes(codes, kind.length)[at], np.zeros(len(at), np.uint32), np.full(len(at), ids[k]), np.full(len(at), prints[k]), at, np.ones(len(at), np.int64)])
-                size += len(at)
+                key = int(ids[k]), int(prints[k])
+                if key in done:  # an equal row
+                    continue
+                done.add(key)
+                starts, sizes, what = found[key]
+                text = data[offsets[k] : offsets[k + 1]]
+                if (own := what == OPEN).any():
+                    opened.append(contexts(*key, text, starts[own], sizes[own], kind))
+                    size += len(opened[-1].tokens) // (8 if kind.unit == "byte" else 1)
+                if (own := what == SPREAD).any():
+                    starts, ends = C.merged(starts[own], (starts + sizes)[own])
+                    codes, _ = tokens(kind.unit, text, np.array([0, len(text)]))
+                    many = ends - starts
+                    at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                    held.append([C.gram_hashes(codes, kind.length)[at], np.zeros(len(at), np.uint32), np.full(len(at), ids[k]), np.full(len(at), prints[k]), at, np.ones(len(at), np.int64)])
+                    size += len(at)
             if size > CHUNK_BYTES // 16:
-                yield row_batch(_sent(held, kind, n))
-                held, size = [], 0
-        if held:
-            yield row_batch(_sent(held, kind, n))
+                yield from out()
+                size = 0
+        yield from out()
 
     return together.mapInArrow(run, SHUFFLED)
 
@@ -358,11 +444,11 @@ def repeated(docs: DataFrame, kind: Kind) -> tuple[DataFrame, int]:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select("doc_id", "print", "text")
     facts = C.written(settle(find_runs(plain, kind, n).repartitionById(n, "p"), kind, n, False), "runs")
-    opened = facts.where(F.col("kind") == OPEN)
+    opened = facts.where(F.col("kind") != DUP)
     settled = facts.where(F.col("kind") == DUP)
     if opened.limit(1).count():
-        windows = find_windows(with_facts(opened, plain, n), kind, n)
-        settled = settled.unionByName(C.written(settle(windows.repartitionById(n, "p"), kind, n, True), "windows"))
+        more = find_opened(with_facts(opened, plain, n), kind, n)
+        settled = settled.unionByName(C.written(settle(more.repartitionById(n, "p"), kind, n, True), "extended"))
     return settled, n
 
 
@@ -380,7 +466,7 @@ def cut(docs: DataFrame, kind: Kind, finish, schema) -> DataFrame:
     def run(batches):
         for rows, found in by_bucket(batches):
             keys = zip(rows.column("doc_id").to_pylist(), rows.column("print").to_pylist(), strict=True)
-            spans = [C.merged(s, s + z + length - 1) if s is not None else None for s, z in (found.get(key, (None, None)) for key in keys)]
+            spans = [C.merged(s, s + z + length - 1) if s is not None else None for s, z, _ in (found.get(key, (None, None, None)) for key in keys)]
             yield finish(rows, spans)
 
     return with_facts(facts, docs, n).mapInArrow(run, schema)

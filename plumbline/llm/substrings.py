@@ -1,11 +1,10 @@
-"""Substring dedup by hashes of runs and windows, over words.
+"""Substring dedup by seed and extend, over words.
 
-Each document is cut by winnowed anchors: of the 8-word hashes in each window of LENGTH words the smallest is
-the anchor, and successive windows with one anchor are a run. Equal runs, met by content hash, repeat whole;
-where runs on one anchor differ, their windows are met by their own hashes. No pair is made and no match is
-extended, yet the windows found cover the words that the maximal repeats of at least LENGTH words do. See
-repeats.py for how that is dealt out. Each word covered by a window whose words
-also start earlier (in a smaller doc_id, or earlier in the same document) is removed.
+Seeds are winnowed anchors: of the 8-word hashes in each window of LENGTH words the smallest. Documents are joined
+on them (repeats.py): where what surrounds an anchor is the same as in an earlier document, all of it is a match;
+where it differs, the match is extended from the anchor to both sides, word by word, up to where a neighbouring
+anchor takes over. Matches of at least LENGTH words that touch are one maximal repeat. Each word covered by a
+window whose words also start earlier (in a smaller doc_id, or earlier in the same document) is removed.
 
 Edge cases: a null, empty or wordless text has no words and an empty kept text. Fewer than LENGTH words never
 repeat. Rows that repeat a doc_id are judged by doc_id and place, so equal rows are the same places and do
@@ -15,7 +14,9 @@ not remove each other. A null doc_id counts as after all others and stays null.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,69 @@ from . import repeats as R
 LENGTH, GRAM = 20, 8
 
 
+class Extended:
+    """Open runs of one anchor, each extended from the anchor against every earlier one."""
+
+    #: Pairs extended at a time.
+    PAIRS = 1 << 18
+
+    def __init__(self, kind: R.Kind):
+        self.kind, self.parts = kind, []
+
+    def add(self, opened: R.Contexts) -> list[list[np.ndarray]]:
+        self.parts.append(opened)
+        return []
+
+    def close(self) -> Iterator[list[np.ndarray]]:
+        """Spans of windows that stand earlier, as entries: [doc_id, doc_id, doc_id, print, start, windows]."""
+        if not self.parts:
+            return
+        x = R.Contexts.joined(self.parts)
+        self.parts = []
+        order = np.lexsort((x.start + x.place, x.doc, x.anchor))
+        anchor = x.anchor[order]
+        head = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        before = np.arange(len(order)) - np.repeat(head, np.diff(np.r_[head, len(order)]))
+        total = np.cumsum(before)
+        a = 0
+        while a < len(order):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + self.PAIRS, "right")))
+            later = np.repeat(np.arange(a, b), before[a:b])
+            earlier = np.arange(len(later)) - np.repeat(np.cumsum(before[a:b]) - before[a:b], before[a:b]) + np.repeat(np.arange(a, b) - before[a:b], before[a:b])
+            yield self.extended(x, order[earlier], order[later])
+            a = b
+
+    def extended(self, x: R.Contexts, one: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
+        """Of pairs of runs with one anchor, what the others repeat of the ones."""
+        length, gram = self.kind.length, self.kind.gram
+        apart = (x.doc[one] != x.doc[other]) | (x.start[one] + x.place[one] < x.start[other] + x.place[other])
+        one, other = one[apart], other[apart]
+        p, q = x.first[one] + x.place[one], x.first[other] + x.place[other]
+        same = np.ones(len(one), bool)
+        for k in range(gram):  # equal hashes are not enough
+            same &= x.tokens[p + k] == x.tokens[q + k]
+        one, other, p, q = one[same], other[same], p[same], q[same]
+        reach = []
+        for step, ends in ((-1, (x.first[one] - 1, x.first[other] - 1)), (1, (x.first[one + 1], x.first[other + 1]))):
+            at, to = (p - 1, q - 1) if step < 0 else (p + gram, q + gram)
+            many, alive = np.zeros(len(one), np.int64), np.arange(len(one))
+            for _ in range(length - gram):
+                alive = alive[(at[alive] != ends[0][alive]) & (to[alive] != ends[1][alive])]
+                alive = alive[x.tokens[at[alive]] == x.tokens[to[alive]]]
+                if not len(alive):
+                    break
+                many[alive] += 1
+                at[alive] += step
+                to[alive] += step
+            reach.append(many)
+        left, right = reach
+        hit = left + gram + right >= length
+        own = other[hit]
+        return [*[x.doc[own]] * 3, x.print[own], (x.start + x.place)[own] - left[hit], (left + right)[hit] + gram - length + 1]
+
+
 def words_kind(length: int = LENGTH, gram: int = GRAM) -> R.Kind:
-    return R.Kind("word", length, gram, True, R.Joined)
+    return R.Kind("word", length, gram, True, Extended)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

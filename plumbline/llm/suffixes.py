@@ -1,13 +1,14 @@
-"""Dedup of long strings with a logarithmic family of indexes, over bytes.
-
-Positions are sampled by content (the anchors of repeats.py), dealt out by anchor, and stand for a run of
-windows each. In each task the batches that arrive are sorted by the hashes of anchor and content, not in the
-order of suffixes, and no common prefixes are scanned: the levels are tables of runs keyed by hash. A batch is
-merged with the existing level of its size, equal neighbours are equal runs, of which the later documents'
-are reported and leave the index, and the merged table moves up a level, geometrically, until a level is
-free. The last merge leaves each content once. Runs whose anchor has several contents leave for a table of
-window hashes. See repeats.py for that and the rest. Each byte covered by a
-string of LENGTH bytes that also starts in a document with a smaller doc_id is removed.
+"""Dedup of long strings with a logarithmic family of suffix arrays, over bytes.
+
+Positions are sampled by content (the anchors of repeats.py), and documents joined on them: where what surrounds
+an anchor is the same as in an earlier document, all its strings of LENGTH bytes are. What differs goes to the task
+of the anchor with its bytes. There every batch that arrives gets a suffix array: the places at which a window
+starts, in the order of the bytes from there on, cut to LENGTH. It is merge-scanned against the level of its size:
+neighbours with a common prefix of LENGTH bytes are long matches, of which the later documents' are reported and
+leave, and the merged array moves up a level, geometrically, until a level is free. The last merge leaves each
+string to its first document. Only sampled places meet, since all suffixes of a text would take LENGTH times its
+size to send. Each byte covered by a string of LENGTH bytes that also starts in a document with a smaller doc_id is
+removed.
 
 Edge cases: a null or empty text has no bytes. Fewer than LENGTH bytes never match. Repeats inside a
 document, and rows that repeat a doc_id, do not remove each other. A null doc_id counts as after all others
@@ -18,6 +19,7 @@ the pipeline drops such remains. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,34 +33,53 @@ LENGTH, GRAM = 50, 24
 
 
 class Levels:
-    """Tables of runs sorted by hash, whose sizes grow geometrically; a new one merges with those of its size."""
+    """Suffix arrays whose sizes grow geometrically; a new one merges with those of its size.
+
+    An array is [suffixes cut to `length` bytes, in their order; doc_id; print; start].
+    """
+
+    #: Suffixes of the lowest level.
+    BASE = 1 << 14
 
-    #: Entries of the lowest level.
-    BASE = 1 << 12
+    def __init__(self, kind: R.Kind):
+        self.length, self.levels = kind.length, {}
 
-    def __init__(self, by_place: bool):
-        self.by_place, self.levels = by_place, {}
+    def add(self, batch: R.Contexts) -> list[list[np.ndarray]]:
+        """Takes a batch of runs; returns entries [doc_id, doc_id, doc_id, print, start, 1] of windows that stand earlier."""
+        own = np.repeat(np.arange(len(batch.size)), batch.size)
+        within = np.arange(len(own)) - np.repeat(np.cumsum(batch.size) - batch.size, batch.size)
+        view = np.lib.stride_tricks.sliding_window_view(batch.tokens, self.length)
+        suffixes = np.ascontiguousarray(view[batch.first[own] + within]).view(f"S{self.length}")[:, 0]
+        return self.put([suffixes, batch.doc[own], batch.print[own], batch.start[own] + within])
 
-    def add(self, entries: list[np.ndarray]) -> list[list[np.ndarray]]:
-        """Takes a batch [key, low, doc_id, print, start, windows]; returns the entries found to repeat earlier ones."""
-        new, again = R.met(entries, self.by_place)
+    def put(self, new: list[np.ndarray]) -> list[list[np.ndarray]]:
+        """A batch of places into the levels."""
+        new, again = scanned([new])
         found = [again]
         while (level := max(0, (len(new[0]) // self.BASE).bit_length())) in self.levels:
-            new, again = R.met([np.concatenate(c) for c in zip(self.levels.pop(level), new, strict=True)], self.by_place)
+            new, again = scanned([self.levels.pop(level), new])
             found.append(again)
         self.levels[level] = new
         return [f for f in found if len(f[0])]
 
-    def close(self) -> tuple[list[np.ndarray] | None, list[list[np.ndarray]]]:
-        """(all entries left, in order; the entries that the last merges found to repeat)."""
-        last, found = None, []
+    def close(self) -> Iterator[list[np.ndarray]]:
+        """The windows that the last merges find to stand earlier."""
+        last: list[list[np.ndarray]] = []
         for level in sorted(self.levels):
-            new = self.levels[level]
-            if last is not None:
-                new, again = R.met([np.concatenate(c) for c in zip(new, last, strict=True)], self.by_place)
-                found.append(again)
-            last = new
-        return last, [f for f in found if len(f[0])]
+            new, again = scanned([self.levels.pop(level), *last])
+            last = [new]
+            if len(again[0]):
+                yield again
+
+
+def scanned(arrays: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Arrays merged into one in suffix order, without the places whose string also starts in an earlier document; and those."""
+    suffixes, doc, mark, start = (np.concatenate(c) for c in zip(*arrays, strict=True))
+    order = np.argsort(suffixes, kind="stable")  # merges what is sorted already
+    suffixes, doc, mark, start = suffixes[order], doc[order], mark[order], start[order]
+    head = np.flatnonzero(np.r_[True, suffixes[1:] != suffixes[:-1]])
+    later = doc > np.repeat(np.minimum.reduceat(doc, head), np.diff(np.r_[head, len(doc)])) if len(doc) else np.zeros(0, bool)
+    return [x[~later] for x in (suffixes, doc, mark, start)], [*[doc[later]] * 3, mark[later], start[later], np.ones(int(later.sum()), np.int64)]
 
 
 def bytes_kind(length: int = LENGTH, gram: int = GRAM) -> R.Kind:

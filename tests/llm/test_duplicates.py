@@ -147,7 +147,7 @@ def without_byte_matches(rows):
 @pytest.mark.parametrize("seed", [1, 4])
 def test_suffixes(spark, seed, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(suffixes.Levels, "BASE", 16)
+    monkeypatch.setattr(suffixes.Levels, "BASE", 64)
     rows = texts(seed)
     assert by_id(suffixes.without_matches(frame(spark, rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == without_byte_matches(rows)
 
@@ -182,21 +182,41 @@ def test_self_similar_texts(spark):
     assert hit == {1: 21, 2: 0}
 
 
-def test_levels_find_what_one_join_finds():
+def test_levels_find_what_one_scan_finds():
     rng = np.random.default_rng(2)
-    levels, joined = suffixes.Levels(False), repeats.Joined(False)
+    levels = suffixes.Levels(suffixes.bytes_kind())
     levels.BASE = 8
-    out = [[], []]
+    found, every = [], []
     for _ in range(30):
         n = int(rng.integers(1, 40))
-        key = np.sort(rng.integers(0, 200, n).astype(np.uint64))
-        batch = [key, np.zeros(n, np.uint32), rng.integers(0, 50, n), np.zeros(n, np.int64), np.arange(n).astype(np.uint32), np.ones(n, np.uint32)]
-        for index, found in zip((levels, joined), out, strict=True):
-            found += index.add([c.copy() for c in batch])
-    kept = []
-    for index, found in zip((levels, joined), out, strict=True):
-        first, again = index.close()
-        found += again
-        kept.append(sorted(zip(first[0].tolist(), first[2].tolist(), strict=True)))
-    flat = [sorted((int(k), int(d)) for f in found for k, d in zip(f[0], f[2], strict=True)) for found in out]
-    assert kept[0] == kept[1] and flat[0] == flat[1]
+        batch = [np.array([b"k%d" % k for k in rng.integers(0, 200, n)], "S50"), rng.integers(0, 50, n), np.zeros(n, np.int64), np.arange(n)]
+        every.append(batch)
+        found += levels.put([c.copy() for c in batch])
+        assert all((level[0][1:] >= level[0][:-1]).all() for level in levels.levels.values())
+    found += list(levels.close())
+    _, again = suffixes.scanned(every)
+    flat = lambda parts: sorted((int(d), int(s)) for f in parts for d, s in zip(f[2], f[4], strict=True))
+    assert flat(found) == flat([again])
+
+
+def test_extension_stops_where_words_differ():
+    kind = substrings.words_kind(6, 2)
+    words = lambda text: np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
+    one, other = "abcXYdef", "zbcXYdeq"
+    first = np.array([0, len(one), len(one) + len(other)])
+    x = repeats.Contexts(np.array([1, 1], np.uint64), np.array([1, 2]), np.zeros(2, np.int64), np.array([10, 20]), np.array([3, 3]), np.array([3, 3]), words(one + other), first)
+    index = substrings.Extended(kind)
+    index.add(x)
+    (found,) = index.close()
+    assert [c.tolist() for c in found[2:]] == [[2], [0], [21], [1]]
+
+
+@pytest.mark.parametrize("contents", [1, 3])
+def test_many_contents_of_one_anchor(spark, contents, monkeypatch):
+    """A passage in ever other surroundings: over CONTENTS of them go by whole windows."""
+    monkeypatch.setattr(repeats, "CONTENTS", contents)
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(24)]
+    rows = [(k, " ".join([f"u{rng.randrange(3)}" for _ in range(rng.randrange(30))] + passage + [f"v{rng.randrange(3)}" for _ in range(rng.randrange(30))])) for k in range(40)]
+    assert by_id(substrings.without_repeats(frame(spark, rows)), "n_words", "n_removed", "kept_sha256") == without_word_repeats(rows)
+    assert by_id(suffixes.without_matches(frame(spark, rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == without_byte_matches(rows)
