@@ -161,14 +161,18 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of all spans of n codes, by doubling: of spans of 1, 2, 4, ... codes those that make up n are joined."""
-    if len(codes) < n:
+def gram_hashes(codes: np.ndarray, n: int, wide: int = 1) -> np.ndarray:
+    """64-bit hashes of all spans of n items, by doubling: of spans of wide, 2 wide, 4 wide, ... items those that make up n are joined.
+
+    codes stand for the spans of `wide` items from each item on; n is a multiple of that power of two.
+    """
+    items = len(codes) + wide - 1
+    if items < n:
         return np.zeros(0, U64)
-    level, width, out, done = codes, 1, None, 0
+    level, width, out, done = codes, wide, None, 0
     while True:
         if n & width:
-            out = level if out is None else joined(out[: len(codes) - done - width + 1], level[done:])
+            out = level if out is None else joined(out[: items - done - width + 1], level[done:])
             done += width
         if done == n:
             return out
@@ -176,14 +180,14 @@ def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
         width *= 2
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of codes, none empty, equal for equal codes wherever they stand.
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, wide: int = 1) -> np.ndarray:
+    """64-bit hashes of spans of at least `wide` items, equal for equal items wherever they stand.
 
-    A span is the two spans of the largest power of two that cover it, and its length.
+    codes are as for gram_hashes. A span is the two spans of the largest power of two that cover it, and its length.
     """
     size = ends - starts
     out = np.empty(len(starts), U64)
-    level, width, longest = codes, 1, int(size.max()) if len(size) else 0
+    level, width, longest = codes, wide, int(size.max()) if len(size) else 0
     while width <= longest:
         own = np.flatnonzero((size >= width) & (size < 2 * width))
         if len(own):
@@ -221,11 +225,6 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def byte_codes() -> np.ndarray:
-    """A fixed 64-bit code for each byte."""
-    return mixed(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-
-
 def row_of(counts_before: np.ndarray) -> np.ndarray:
     """For each item the row it belongs to, from the counts before each row."""
     return np.repeat(np.arange(len(counts_before) - 1), np.diff(counts_before))

@@ -53,12 +53,16 @@ class Kind:
     index: type
 
 
-def tokens(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit codes of the tokens of a block, and the number of tokens before each row."""
+#: Bytes that a code of tokens() stands for, from each byte on.
+WIDE = 8
+
+
+def tokens(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """64-bit codes of the tokens of a block, the number of tokens before each row, and how many tokens a code stands for."""
     if unit == "byte":
-        return C.byte_codes()[data], offsets
+        return np.ascontiguousarray(C.eights(data)[: max(0, len(data) - WIDE + 1)]).view(C.U64)[:, 0], offsets, WIDE
     starts, ends, before = C.word_bounds(data, offsets, C.byte_class("space"))
-    return C.word_hashes(data, starts, ends), before
+    return C.word_hashes(data, starts, ends), before, 1
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -68,12 +72,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def runs(codes: np.ndarray, before: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
+def runs(codes: np.ndarray, before: np.ndarray, wide: int, kind: Kind) -> tuple[np.ndarray, ...]:
     """(anchor, content, row, start, windows) of each run; start is counted from the row's first token."""
-    n = len(codes) - kind.length + 1
+    n = int(before[-1]) - kind.length + 1
     if n <= 0:
         return (np.zeros(0, C.U64),) * 2 + (np.zeros(0, np.int64),) * 3
-    grams = C.gram_hashes(codes, kind.gram)
+    grams = C.gram_hashes(codes, kind.gram, wide)
     least = sliding_min(grams, kind.length - kind.gram + 1)
     row = np.repeat(np.arange(len(before) - 1, dtype=np.int32), np.diff(before))
     whole = row[:n] == row[kind.length - 1 :]
@@ -87,7 +91,7 @@ def runs(codes: np.ndarray, before: np.ndarray, kind: Kind) -> tuple[np.ndarray,
         parts = -(-size // LONGEST)
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         start, size = np.repeat(start, parts) + step * LONGEST, np.minimum(np.repeat(size, parts) - step * LONGEST, LONGEST)
-    content = C.span_hashes(codes, start, start + size + kind.length - 1)
+    content = C.span_hashes(codes, start, start + size + kind.length - 1, wide)
     own = row[start].astype(np.int64)
     return least[start], content, own, start - before[own], size
 
@@ -211,8 +215,7 @@ def find_runs(docs: DataFrame, kind: Kind, n: int) -> DataFrame:
             found = []
             for x, y in C.blocks(offsets[a : b + 1] - offsets[a]):
                 piece = offsets[a + x : a + y + 1]
-                codes, before = tokens(kind.unit, data[piece[0] : piece[-1]], piece - piece[0])
-                anchor, content, row, start, size = runs(codes, before, kind)
+                anchor, content, row, start, size = runs(*tokens(kind.unit, data[piece[0] : piece[-1]], piece - piece[0]), kind)
                 found.append((anchor, content, row + a + x, start, size))
             anchor, content, row, start, size = (np.concatenate(c) for c in zip(*found, strict=True))
             if not len(anchor):
@@ -332,8 +335,8 @@ class Contexts:
 
 def contexts(doc: int, mark: int, data: np.ndarray, start: np.ndarray, size: np.ndarray, kind: Kind) -> Contexts:
     """The open runs of a text, given as bytes. The anchor is the leftmost smallest gram of a run's last window, which all its windows hold."""
-    codes, _ = tokens(kind.unit, data, np.array([0, len(data)]))
-    grams = C.gram_hashes(codes, kind.gram)
+    codes, _, wide = tokens(kind.unit, data, np.array([0, len(data)]))
+    grams = C.gram_hashes(codes, kind.gram, wide)
     last = start + size - 1
     near = grams[last[:, None] + np.arange(kind.length - kind.gram + 1)]
     place = near.argmin(1)
@@ -419,10 +422,10 @@ def find_opened(together: DataFrame, kind: Kind, n: int) -> DataFrame:
                     size += len(opened[-1].tokens) // (8 if kind.unit == "byte" else 1)
                 if (own := what == SPREAD).any():
                     starts, ends = C.merged(starts[own], (starts + sizes)[own])
-                    codes, _ = tokens(kind.unit, text, np.array([0, len(text)]))
+                    codes, _, wide = tokens(kind.unit, text, np.array([0, len(text)]))
                     many = ends - starts
                     at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                    held.append([C.gram_hashes(codes, kind.length)[at], np.zeros(len(at), np.uint32), np.full(len(at), ids[k]), np.full(len(at), prints[k]), at, np.ones(len(at), np.int64)])
+                    held.append([C.span_hashes(codes, at, at + kind.length, wide), np.zeros(len(at), np.uint32), np.full(len(at), ids[k]), np.full(len(at), prints[k]), at, np.ones(len(at), np.int64)])
                     size += len(at)
             if size > CHUNK_BYTES // 16:
                 yield from out()
