@@ -226,6 +226,21 @@ def test_decontamination(spark, block):
     assert decontaminate.matched(frame(spark, []), table).count() == 0
 
 
+def test_longest_matches(spark):
+    """Two items quoted back to back are two matches, and of items that start alike the longest is kept."""
+    one, two = [f"a{k}" for k in range(30)], [f"b{k}" for k in range(20)]
+    items = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(["x", *one[:20], "y"])), (4, "short one")]
+    rows = [(1, " ".join(["p", *one[5:], *two, "q"])), (2, " ".join(one[:20])), (3, "Short one and a short, one"), (4, "a " * 40)]
+    items.append((5, "a " * 25))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: [tuple(m) for m in r._matches] for r in decontaminate.matched(frame(spark, rows), table).collect()}
+    assert got[1] == [(1, 26, 1, 5), (26, 46, 2, 0)]
+    assert got[2] in ([(0, 20, 1, 0)], [(0, 20, 3, 1)])
+    assert got[3] == [(0, 2, 4, 0), (4, 6, 4, 0)]
+    assert [(s, e) for s, e, _, _ in got[4]] == [(0, 25), (13, 38), (26, 40)]
+    assert all(not m for m in (r._matches for r in decontaminate.matched(frame(spark, rows), table, listed=False).collect()))
+
+
 def test_sentencepiece(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     pytest.importorskip("public_tokenizers")
