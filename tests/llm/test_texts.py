@@ -52,6 +52,101 @@ def test_presence_is_that_of_all_grams():
     assert [int(s.sum()) for s in sets] == [len(g) for g in grams]
 
 
+def test_scores_against_a_dense_solution():
+    """Kernel ridge regression over all landmarks, solved densely from a kernel that is computed pair by pair from sets of n-grams."""
+    rows = [(t, lang) for _, t, lang in corpus(7, 60)]
+    presence = lambda many: langid.presence(np.frombuffer("".join(many).encode(), np.uint8), np.r_[0, np.cumsum([len(t.encode()) for t in many])])
+    sets = presence([t for t, _ in rows])
+    model = langid.fit(np.packbits(sets.astype(bool), axis=1), [lang for _, lang in rows])
+    langs = sorted({lang for _, lang in rows})
+    each = langid.LANDMARKS // len(langs)
+    places = [set(np.flatnonzero(s).tolist()) for s in sets]
+    marks = [k for lang in langs for k in [i for i, (_, x) in enumerate(rows) if x == lang][:each]]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    k_nm = np.array([[kernel(places[i], places[j]) for j in marks] for i in range(len(rows))])
+    weight = np.diag([len(rows) / (len(langs) * sum(x == lang for _, x in rows)) for _, lang in rows])
+    target = np.array([[1.0 if lang == x else -1.0 for x in langs] for _, lang in rows])
+    features = np.c_[k_nm, np.ones(len(rows))]
+    penalty = np.zeros((len(marks) + 1,) * 2)
+    penalty[:-1, :-1] = k_nm[marks]
+    penalty[-1, -1] = 1
+    solved = np.linalg.lstsq(features.T @ weight @ features + langid.RIDGE * len(rows) * penalty, features.T @ weight @ target, rcond=1e-12)[0]
+    others = [t for _, t, _ in corpus(8, 40)]
+    asked = [set(np.flatnonzero(s).tolist()) for s in presence(others)]
+    want = np.array([[kernel(a, places[j]) for j in marks] + [1.0] for a in asked]) @ solved
+    assert np.abs(langid.scores(model, presence(others)) - np.clip((want + 1) / 2, 0, 1)).max() < 1e-3
+
+
+def test_repeated_ids_and_rare_languages_in_training(spark):
+    rows = [(1, f"the thing {k}", "aa") for k in range(300)] + [(k, "the ing ou", "aa") for k in range(2, 60)] + [(1000, "ção lha", "cc"), (None, "wh ou", "aa"), (None, "ing ou", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert langid.train(docs, 20)["classes"] == ["aa", "cc"]
+    held = {r.doc_id: r.held for r in docs.select("doc_id", (common.crc_mod("doc_id", 4) == 2).alias("held")).collect()}
+    assert held[None] is False
+
+
+def test_many_short_texts_and_a_long_one(spark):
+    rows = [*corpus(), *[(2000 + k, "a", None) for k in range(3000)], (9000, "the ing wh ou " * 60_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(1)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs.select("doc_id", "text"), langid.train(docs)).collect()}
+    assert got[9000] == "aa" and len(got) == len(rows)
+
+
+def test_statistics_against_plain_counts():
+    many = ["Hello world. THIS is 1 line!\nHello, world é\n\nHello world", "", "x", "a a a a bb", "\n\n", "ÀÉ ß 12"]
+    got = quality.statistics(np.frombuffer("".join(many).encode(), np.uint8), np.r_[0, np.cumsum([len(t.encode()) for t in many])])
+    for text, row in zip(many, got, strict=True):
+        raw, words = text.encode(), re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+        lines, n = [x for x in raw.split(b"\n") if x], max(1, len(words))
+        share = lambda some: sum(b in some for b in raw) / max(1, len(raw))  # noqa: B023, E731
+        length = [len(w) for w in words]
+        want = {
+            "log_bytes": np.log1p(len(raw)), "upper": share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digit": share(b"0123456789"), "space": share(b" \t\r\v\f"), "newline": share(b"\n"), "stop": share(b".?!"), "non_ascii": share(bytes(range(128, 256))),
+            "log_words": np.log1p(len(words)), "word_mean": sum(length) / n, "word_std": np.std(length) if words else 0, "word_max": np.log1p(max(length, default=0)), "short_words": sum(x <= 2 for x in length) / n, "capital_words": sum(w[:1].isupper() for w in words) / n,
+            "shout_words": sum(w[:1].isupper() and len(w) > 1 and not any(97 <= b <= 122 for b in w) for w in words) / n, "letterless": sum(not any(b >= 128 or chr(b).isalpha() for b in w) for w in words) / n,
+            "distinct_words": len(set(words)) / n, "top_word": max([words.count(w) for w in words], default=0) / n, "distinct_pairs": len(set(zip(words, words[1:]))) / max(1, len(words) - 1),
+            "log_lines": np.log1p(len(lines)), "distinct_lines": len(set(lines)) / max(1, len(lines)), "stops_per_word": sum(b in b".?!" for b in raw) / n,
+        }
+        for name, value in want.items():
+            assert abs(row[quality.FEATURES.index(name)] - value) < 1e-9, (text, name)
+
+
+def test_first_split_against_all_splits(monkeypatch):
+    """A tree of depth one splits where trying every feature and value gains most."""
+    monkeypatch.setattr(quality, "TREES", 1)
+    monkeypatch.setattr(quality, "DEPTH", 1)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (300, len(quality.FEATURES))).astype(float)
+    y = (x[:, 7] + rng.normal(size=300) > 6).astype(float)
+    model = quality.grow(x, y)
+    p = y.mean()
+    gain = {}
+    for f in range(x.shape[1]):
+        for cut in np.unique(x[:, f]):
+            left = x[:, f] <= cut
+            if min(left.sum(), (~left).sum()) >= quality.LEAST:
+                g, h = lambda some: (y[some] - p).sum(), lambda some: some.sum() * p * (1 - p)
+                gain[f, cut] = sum(g(s) ** 2 / (h(s) + quality.L2) for s in (left, ~left))
+    f, cut = max(gain, key=gain.get)
+    assert model["feature"][0] == f and ((x[:, f] <= model["threshold"][0]) == (x[:, f] <= cut)).all()
+    left = x[:, f] <= cut
+    for side, node in ((left, model["left"][0]), (~left, model["right"][0])):
+        assert abs(model["value"][node] - quality.RATE * (y[side] - p).sum() / (side.sum() * p * (1 - p) + quality.L2)) < 1e-9
+
+
+def test_repeated_ids_in_quality_training(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(k, "other words") for k in range(2, 50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 50)], "doc_id long, quality int")
+    seen = []
+    original = quality.grow
+    quality.grow = lambda x, y: seen.append(len(y)) or original(x, y)
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality.grow = original
+    assert seen == [49]
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = lambda: ". ".join(" ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(5, 12))).capitalize() for _ in range(6)) + "."
