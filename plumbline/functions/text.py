@@ -6,10 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIN_LINES, MIN_TOKENS = 5, 20
+#: The characters that Unicode calls white space.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalized(text: Column) -> Column:
@@ -19,7 +21,7 @@ def normalized(text: Column) -> Column:
 
 def filled_lines(text: Column) -> Column:
     """The number of lines that are not blank."""
-    return F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"(?U)\S")))
+    return F.size(F.filter(F.split(text, "\n", -1), lambda x: trimmed(x) != ""))
 
 
 def token_count(text: Column) -> Column:

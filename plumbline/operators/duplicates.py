@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import written
 from . import graphs
 
 #: Lines times copies, or copies alone, from which a clone is reported.
@@ -18,14 +19,22 @@ JOINT_LINES, COPIES = 20, 4
 
 
 def chunks(rows: DataFrame, key: str) -> DataFrame:
-    """Normalised texts of rows(key, text) that are long enough, with their content hash."""
-    text = X.normalized(F.col("text"))
-    return rows.select(key, text.alias("text")).where(X.eligible(F.col("text"))).select(key, "text", F.sha2("text", 256).alias("hash"), X.filled_lines(F.col("text")).alias("loc"))
+    """Normalised texts of rows(key, text) that are long enough, with their content hash.
+
+    Normalising adds or takes away no filled line and no token, so texts are chosen, and lines counted, before.
+    """
+    text = F.col("text")
+    return rows.where(X.eligible(text)).select(key, X.normalized(text).alias("text"), X.filled_lines(text).alias("loc")).select(key, "text", F.sha2("text", 256).alias("hash"), "loc")
+
+
+def hashes(rows: DataFrame, key: str) -> DataFrame:
+    """key, hash and loc of chunks(), written once: texts are read and normalised a single time whatever joins them."""
+    return written(chunks(rows, key).select(key, "hash", "loc"), "hashes")
 
 
 def copies(rows: DataFrame, key: str) -> DataFrame:
     """Members of groups of equal chunks: key, representative (the smallest key) and members. The group is never gathered."""
-    found = chunks(rows, key)
+    found = hashes(rows, key)
     groups = found.groupBy("hash").agg(F.min(key).alias("representative"), F.count("*").alias("members")).where("members > 1")
     return found.select(key, "hash").join(groups, "hash").select(key, "representative", "members")
 

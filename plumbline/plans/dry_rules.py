@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from ..sources.python_ast import bindings
 from .engine import rule
 from .python_rules import is_skipped
 
-DIMS = 32
+DIMS = 256
 EMBED_BATCH = 32
 
 
@@ -44,15 +46,17 @@ def python_chunks(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def hash_vector(text: str) -> np.ndarray:
-    """A unit vector of token counts by hash: stands in for a model, and is the same everywhere."""
+    """A unit vector that stands in for a model: signed counts of identifiers' parts, and of each two in a row, at places given by CRC-32.
+
+    Logarithms of the counts keep a word that a chunk repeats from outweighing the rest.
+    """
+    parts = [p.casefold() for word in re.findall(r"\w+", text) for p in re.split(r"_+|(?<=[a-z])(?=[A-Z])|(?<=\D)(?=\d)", word) if p]
+    counts = Counter(parts) + Counter(map("+".join, zip(parts, parts[1:], strict=False)))
     out = np.zeros(DIMS)
-    for token in re.findall(r"[a-z_][a-z0-9_]*", re.sub(r"\b(class|def)\s+\w+", r"\1", text).lower()):
-        if len(token) > 2:
-            h = 0
-            for c in token:
-                h = (h * 31 + ord(c)) & 0xFFFFFFFF
-            out[h % DIMS] += 1
-    norm = np.sqrt((out**2).sum())
+    for feature, n in counts.items():
+        code = zlib.crc32(feature.encode())
+        out[code % DIMS] += np.log1p(n) * (1 if code >> 31 else -1)
+    norm = np.linalg.norm(out)
     return out / norm if norm else out
 
 
@@ -135,10 +139,10 @@ def name_cards(nodes: DataFrame, packages: DataFrame) -> DataFrame:
 
 #: Ranks of the arms, best first.
 ARMS = ("exact", "normalized", "embed")
-ARM_OPTIONS = {"type": "object", "properties": {k: {"type": "boolean"} for k in ("exact", "normalized", "embedNames")}}
+ARM_OPTIONS = {"type": "object", "additionalProperties": False, "properties": {k: {"type": "boolean"} for k in ("exact", "normalized", "embedNames")}}
 
 
-@rule("python/single-source-threshold", "python", "packages", recommended="off", options={"type": "object", "properties": {"names": {"type": "array"}, "tokenJaccard": {"type": "number", "minimum": 0, "maximum": 1}, "nameCosine": {"type": "number", "exclusiveMinimum": 0, "maximum": 1}, "arms": ARM_OPTIONS}})
+@rule("python/single-source-threshold", "python", "packages", recommended="off", options={"type": "object", "additionalProperties": False, "properties": {"names": {"type": "array", "items": {"type": "string"}}, "tokenJaccard": {"type": "number", "minimum": 0, "maximum": 1}, "nameCosine": {"type": "number", "exclusiveMinimum": 0, "maximum": 1}, "arms": ARM_OPTIONS}})
 def single_source_threshold(inputs, options):
     cards = name_cards(inputs["python"], inputs["packages"])
     arms, patterns = options.get("arms", {}), tuple(options.get("names", ()))

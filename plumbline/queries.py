@@ -11,6 +11,7 @@ from .model import ordered, violations
 from .operators import duplicates as D
 from .operators import graphs as G
 from .operators import relational as R
+from .storage import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -148,10 +149,10 @@ def single_use(spark, sf):
     return R.uses(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 7 <> 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
 def docs_honesty(spark, sf):
-    """What only the code side, or only the documented side, has. The left side leaves out every seventh, so that both sides differ."""
-    return R.outer_difference(table(spark, sf, "documents").where("doc_id % 7 <> 0"), table(spark, sf, "labels"), "doc_id")
+    """What only the code side, or only the documented side, has."""
+    return R.outer_difference(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
 
 
 @query("WITH s AS (SELECT conv_id, list_distinct(list(role)) AS seen FROM conversations GROUP BY conv_id) SELECT conv_id, list_sort(list_filter(['system', 'user', 'assistant'], lambda x: NOT list_contains(seen, x))) AS missing FROM s WHERE len(list_filter(['system', 'user', 'assistant'], lambda x: NOT list_contains(seen, x))) > 0")
@@ -173,15 +174,15 @@ def first_by_position(spark, sf):
 
 
 @query(
-    f"WITH {CHUNKS}, h AS (SELECT doc_id, 0 AS rank, min(doc_id) OVER (PARTITION BY hash) AS canonical, count(*) OVER (PARTITION BY hash) AS n FROM c UNION ALL SELECT doc_id, 1, min(doc_id) OVER (PARTITION BY substr(text, 1, 40)), count(*) OVER (PARTITION BY substr(text, 1, 40)) FROM documents), b AS (SELECT doc_id, min(rank) AS rank FROM h WHERE n > 1 AND doc_id > canonical GROUP BY doc_id) SELECT b.doc_id, CASE rank WHEN 0 THEN 'exact' ELSE 'opening' END AS arm, canonical FROM b JOIN h USING (doc_id, rank)"
+    f"WITH {CHUNKS}, h AS (SELECT doc_id, 0 AS rank, min(doc_id) OVER (PARTITION BY hash) AS canonical, count(*) OVER (PARTITION BY hash) AS n FROM c UNION ALL SELECT doc_id, 1, min(doc_id) OVER (PARTITION BY regexp_replace(text, '[ \t\n]+', '', 'g')), count(*) OVER (PARTITION BY regexp_replace(text, '[ \t\n]+', '', 'g')) FROM documents), b AS (SELECT doc_id, min(rank) AS rank FROM h WHERE n > 1 AND doc_id > canonical GROUP BY doc_id) SELECT b.doc_id, CASE rank WHEN 0 THEN 'exact' ELSE 'spacing' END AS arm, canonical FROM b JOIN h USING (doc_id, rank)"
 )
 def arm_dedupe(spark, sf):
-    """One hit a document, of the exact arm before that of equal openings."""
+    """One hit a document, of the exact arm before that of texts that differ in spacing only."""
     docs = table(spark, sf, "documents")
     exact = D.copies(docs, "doc_id").select("doc_id", F.lit(0).alias("rank"), F.lit("exact").alias("arm"), F.col("representative").alias("canonical"))
-    opening = docs.select("doc_id", F.substring("text", 1, 40).alias("opening"))
-    groups = opening.groupBy("opening").agg(F.min("doc_id").alias("canonical"), F.count("*").alias("n")).where("n > 1")
-    near = opening.join(groups, "opening").select("doc_id", F.lit(1).alias("rank"), F.lit("opening").alias("arm"), "canonical")
+    spacing = written(docs.select("doc_id", F.sha2(F.translate("text", " \t\n", ""), 256).alias("bare")), "bare")
+    groups = spacing.groupBy("bare").agg(F.min("doc_id").alias("canonical"), F.count("*").alias("n")).where("n > 1")
+    near = spacing.join(groups, "bare").select("doc_id", F.lit(1).alias("rank"), F.lit("spacing").alias("arm"), "canonical")
     return D.first_arm(exact.unionByName(near).where("doc_id > canonical"), ["doc_id"], F.col("rank"), [F.col("canonical")]).select("doc_id", "arm", "canonical")
 
 
@@ -216,7 +217,7 @@ def severity_overlay(spark, sf):
 def violation_sort(spark, sf):
     """Reports of two rules as one relation in the global order."""
     docs = table(spark, sf, "documents")
-    found = D.chunks(docs, "doc_id")
+    found = D.hashes(docs, "doc_id")
     groups = D.gate(found.groupBy("hash").agg(F.min("doc_id").alias("r"), F.count("*").alias("members"), F.min("loc").alias("min_loc"))).where("reported")
     file = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     rep = F.concat(F.lit("doc/"), F.col("r").cast("string"))
@@ -252,7 +253,9 @@ def unknown_rules(spark, sf):
 def rule_selection(spark, sf):
     part = table(spark, sf, "part")
     rules = part.select(F.col("p_type").alias("plugin"), F.col("p_brand").alias("rule")).distinct()
-    return rules.join(part.where("p_size = 3").select(F.col("p_type").alias("plugin")).distinct(), "plugin", "left_semi").where("rule <> 'Brand#12'").select("plugin", "rule")
+    # The plugins that a configuration names are a short list.
+    plugins = [r["p_type"] for r in part.where("p_size = 3").select("p_type").distinct().collect()]
+    return R.selected(rules, plugins).where("rule <> 'Brand#12'").select("plugin", "rule")
 
 
 @query("SELECT CAST(u.user_id AS VARCHAR) AS rule, event_type AS artifact FROM (SELECT DISTINCT user_id, event_type FROM events) u WHERE false UNION ALL SELECT array_to_string(list_sort(list(DISTINCT CAST(user_id AS VARCHAR))), ','), event_type FROM events GROUP BY event_type")

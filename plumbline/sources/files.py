@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +30,24 @@ def chosen(files: DataFrame, include=INCLUDE, exclude=()) -> DataFrame:
 
 
 def workspace(spark: SparkSession, root: str, include=INCLUDE, exclude=()) -> DataFrame:
-    """path (relative, with slashes) and text of the files under root. Only chosen files are read: the filter is on the path."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """path (relative, with slashes) and text of the files under root.
+
+    Files are listed first, without their contents; only those chosen are then read. Their paths pass the driver, as
+    every listing of files does.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("full"))
     here = root.rstrip("/").removeprefix("file:").replace("//", "/")
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^{here}/", "")
-    return chosen(found.select(path.alias("path"), "content"), include, exclude).select("path", F.decode("content", "UTF-8").alias("text"))
+    relative = lambda path: F.regexp_replace(F.regexp_replace(path, r"^file:/*", "/"), f"^{re.escape(here)}/", "")
+    paths = [r["full"] for r in chosen(listed.withColumn("path", relative("full")), include, exclude).collect()]
+    if not paths:
+        return spark.createDataFrame([], "path string, text string")
+    found = spark.read.format("binaryFile").load([_literal(p) for p in paths])
+    return found.select(relative("path").alias("path"), F.decode("content", "UTF-8").alias("text"))
+
+
+def _literal(path: str) -> str:
+    """A path whose special characters of globs stand for themselves."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
 def documents(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -163,3 +163,8 @@ def test_diagnostics_and_documents(spark, tmp_path):
     assert [tuple(r) for r in files.diagnostics(lines).collect()] == [("E1", "a.py", 3, 4, "m")]
     (tmp_path / "a.md").write_text("x\ny")
     assert [r.text for r in files.documents(spark, [str(tmp_path / "a.md")]).collect()] == ["x\ny"]
+
+
+def test_components_of_loops_and_nulls(spark):
+    links = spark.createDataFrame([(1, 1), (2, 3), (3, 2), (4, None), (5, 6), (6, 7), (7, 7)], "u long, v long")
+    assert {r.node: r.component for r in graphs.components(links).collect()} == {1: 1, 2: 2, 3: 2, 5: 5, 6: 5, 7: 5}

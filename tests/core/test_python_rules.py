@@ -127,8 +127,37 @@ def test_settings():
     for bad in (lambda: engine.settings(["nope"], {}), lambda: engine.settings([], {"x/y": "error"}), lambda: engine.settings(["ml"], {"ml/no-cuda-hardcoded": "loud"}), lambda: engine.filtered(enabled, names=["ml/no-cuda-hardcoded"])):
         with pytest.raises(engine.ConfigError):
             bad()
-    number = {"type": "object", "properties": {"t": {"type": "number", "exclusiveMinimum": 0, "maximum": 1}}}
+    number = {"type": "object", "additionalProperties": False, "properties": {"t": {"type": "number", "exclusiveMinimum": 0, "maximum": 1}}}
     assert engine.validated(number, {"t": 1}, "x") == {"t": 1}
     for bad in ({"t": 0}, {"t": 2}, {"t": "a"}, {"u": 1}, {"t": True}, []):
         with pytest.raises(engine.ConfigError):
             engine.validated(number, bad, "x")
+
+
+def test_schemas_and_required_options():
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"type": "string"}}}}
+    assert engine.validated(schema, {"a": ["x"], "more": 1}, "r") == {"a": ["x"], "more": 1}
+    for bad in ({}, {"a": [1]}, {"a": "x"}):
+        with pytest.raises(engine.ConfigError):
+            engine.validated(schema, bad, "r")
+    for bad in ({"type": "array"}, {"type": "array", "items": {"type": "number"}}, {"type": "integer"}, {"type": "string", "pattern": "a"}, {"type": "object", "required": "a"}, {"type": "number", "minimum": "0"}, {"type": "object", "additionalProperties": {"type": "string"}}):
+        with pytest.raises(engine.ConfigError):
+            engine.compiled(bad, "r")
+
+
+def test_providers_of_plugins():
+    a, b = (lambda _: None), (lambda _: None)
+    assert engine.provided({"python": a, "files": a}, {"p": {"python": b}}) == {"python": b, "files": a}
+    with pytest.raises(engine.ConfigError, match="p and q"):
+        engine.provided({}, {"p": {"x": a}, "q": {"x": b}})
+
+
+def test_sources_are_parsed_once(spark):
+    """All python/ and ml/ rules of a check read one table of nodes: none of their plans parses."""
+    nodes = python_nodes(spark.createDataFrame([("a.py", "def f(a=[]):\n    try:\n        g()\n    except:\n        pass\n")], "path string, text string"))
+    packages = spark.createDataFrame([("a.py", "")], "file string, package_dir string")
+    inputs = engine.Inputs({"python": lambda _: nodes, "packages": lambda _: packages})
+    enabled = {k: ("error", {}) for k, r in engine.RULES.items() if set(r.requires) <= {"python", "packages"}}
+    assert len(enabled) > 18
+    plan = engine.check(spark, enabled, inputs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in nodes._jdf.queryExecution().optimizedPlan().toString() and "run(path" not in plan
