@@ -343,3 +343,5 @@ def typescript_scan(spark, sf):
     found = engine.check(spark, {r: ("error", {}) for r in rules}, engine.Inputs({"typescript": lambda _: tokens}))
     by_rule = found.groupBy("file").agg(*[F.count_if(F.col("rule_id") == r).alias(n) for r, n in zip(rules, ("n_empty", "n_bang"), strict=True)])
     return files.select(F.col("path").alias("file")).join(by_rule, "file", "left").select("file", F.coalesce("n_empty", F.lit(0)).alias("n_empty"), F.coalesce("n_bang", F.lit(0)).alias("n_bang"))
+
+from . import rule_queries  # noqa: E402, F401  registers its queries
