@@ -1,13 +1,13 @@
 """What the operators share: shared storage, Arrow mapping over whole texts, and vectorised words.
 
 Texts are handled as UTF-8 bytes in blocks of whole documents. A block holds about BLOCK_BYTES, or one
-document if that is longer, so memory follows the longest text and not the partition.
+document if that is longer, so memory follows the longest text and not the partition: some 60 bytes for each byte
+of it in the operators that hash every place of a text (MinHash, both kinds of repeats, decontamination).
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dropped, shared_dir, written  # noqa: F401  for the operators
+
 BLOCK_BYTES = 192 * 1024
 #: Stands for a null doc_id inside operators that order documents: after all others.
 NO_ID = (1 << 63) - 1
-_CACHE: dict = {}
 
 U64 = np.uint64
 
@@ -28,47 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if "dir" not in _CACHE:
-        _CACHE["dir"] = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    return _CACHE["dir"]
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Spark removes an execution's shuffle files when it ends.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df by way of a Parquet table in the shared folder: cuts the lineage, survives lost executors, frees the shuffles behind it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables made by written() that nothing will read again."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for one in tables:
-        for folder in {f.rpartition("/")[0] for f in one.inputFiles()}:
-            if folder.startswith(shared_dir(spark).replace("file://", "file:")) or folder.startswith(shared_dir(spark)):
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+def partitions(df: DataFrame, each: int = 64 << 20) -> int:
+    """How many buckets to deal df over: spark.sql.shuffle.partitions, and more where its files hold over `each` bytes for each of them."""
+    given = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Without statistics Spark's estimate is far beyond any table.
+    return max(given, min(-(-size // each), 1 << 21)) if size < 1 << 55 else given
 
 
 def crc_mod(doc_id: str | Column, by: int) -> Column:

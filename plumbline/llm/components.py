@@ -1,45 +1,13 @@
-"""Connected components by alternating large and small stars, on DataFrames of any size."""
+"""Connected components of links between documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common as C
-
-
-def _least(edges: DataFrame) -> DataFrame:
-    """(u, m): the smallest of u and its neighbours. Pre-aggregated before the shuffle, so hubs are no hot group."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+from ..operators import graphs
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of links(u, v), component being the smallest node reachable.
-
-    Ends when every edge points from a node to the root of its star. Each round is written to the shared
-    folder, and the one before deleted. Nulls must be filtered out before; loops and repeated links do no harm.
-    """
-    spark, old = links.sparkSession, None
-    edges = C.written(links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v"), "edges")
-    while True:
-        new = C.written(_small_star(_large_star(edges)), "stars")
-        # A forest of stars: no node has two parents, and no parent one of its own.
-        ends = new.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(new.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-        again = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").limit(1).count()
-        if old is not None:
-            C.dropped(spark, old)
-        if not again:
-            break
-        edges = old = new
-    return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    """(node, component) for every node of links(u, v) that is linked with another one; component is the smallest node reachable."""
+    return graphs.components(links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v"))

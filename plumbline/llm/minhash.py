@@ -204,8 +204,8 @@ def _sets_of(payload: bytes) -> tuple[np.ndarray, ...]:
     return components, sizes, np.frombuffer(payload, C.U64, offset=8 + 24 * n)
 
 
-def met_in_blocks(mixed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links u, v between the components of mixed(band, node, size, component, largest) that alike sets of one bucket join.
+def met_in_blocks(mixed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, the table of blocks behind them): links u, v between the components of mixed(band, node, size, component, largest) that alike sets of one bucket join.
 
     The sets of a bucket's members are packed in blocks, and so are those of its members outside the largest
     component. Each of the latter blocks is sent to every one of the former, in whose task all sets of both are
@@ -265,11 +265,12 @@ def met_in_blocks(mixed: DataFrame, docs: DataFrame) -> DataFrame:
             if links:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["u", "v"])
 
-    return met.select("band", "part", "kind", "payload").mapInArrow(run, "u long, v long")
+    return met.select("band", "part", "kind", "payload").mapInArrow(run, "u long, v long"), blocks
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = C.written(described(docs), "sets")
     known = rows.where("d1 IS NOT NULL AND doc_id IS NOT NULL")
@@ -295,7 +296,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     mixed = _mixed(members, label)
     if mixed.limit(1).count():
-        label = joined(label, C.written(met_in_blocks(mixed, docs), "links"))
+        links, blocks = met_in_blocks(mixed, docs)
+        links = C.written(links, "links")
+        C.dropped(spark, blocks, mixed)
+        label = joined(label, links)
+    C.dropped(spark, members, pairs)
     by_node = named.select("doc_id", "node").distinct().join(label, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     by_doc = by_node.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")

@@ -15,8 +15,8 @@ A window is `length` successive tokens of one document. Which windows stand earl
 4. What was found joins the texts by document, as packed rows in buckets of documents.
 
 Every text crosses the network twice at most; what is held in memory is a task's share of runs, or the findings
-of one bucket of documents. There are as many buckets as spark.sql.shuffle.partitions, each a task of its own, so
-more partitions mean smaller shares. Hashes have 64 bits.
+of one bucket of documents. There are as many buckets as spark.sql.shuffle.partitions, or more where the table is
+large for that many, each a task of its own. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -444,7 +444,7 @@ def _sent(held: list[list[np.ndarray]], kind: Kind, n: int) -> list[tuple[int, i
 
 def repeated(docs: DataFrame, kind: Kind) -> tuple[DataFrame, int]:
     """(findings about docs(doc_id, print, text), number of buckets): spans of windows that stand earlier."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = C.partitions(docs)
     plain = docs.select("doc_id", "print", "text")
     facts = C.written(settle(find_runs(plain, kind, n).repartitionById(n, "p"), kind, n, False), "runs")
     opened = facts.where(F.col("kind") != DUP)

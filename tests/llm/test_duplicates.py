@@ -220,3 +220,19 @@ def test_many_contents_of_one_anchor(spark, contents, monkeypatch):
     rows = [(k, " ".join([f"u{rng.randrange(3)}" for _ in range(rng.randrange(30))] + passage + [f"v{rng.randrange(3)}" for _ in range(rng.randrange(30))])) for k in range(40)]
     assert by_id(substrings.without_repeats(frame(spark, rows)), "n_words", "n_removed", "kept_sha256") == without_word_repeats(rows)
     assert by_id(suffixes.without_matches(frame(spark, rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == without_byte_matches(rows)
+
+
+def test_buckets_follow_the_size_of_the_table(spark, tmp_path):
+    from plumbline.llm import common
+
+    frame(spark, texts(1), extra=False).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    given = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.partitions(docs) == given
+    assert given < common.partitions(docs, 1024) <= 1 + sum(f.stat().st_size for f in tmp_path.glob("d/*.parquet")) // 1024
+    rows = texts(1)
+    original, common.partitions = common.partitions, lambda df: original(df, 4096)
+    try:
+        assert by_id(substrings.without_repeats(docs), "n_words", "n_removed", "kept_sha256") == without_word_repeats(rows)
+    finally:
+        common.partitions = original
