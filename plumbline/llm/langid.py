@@ -106,8 +106,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     share a doc_id (or have none) one is learned from.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("_order"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    # Of a language with many documents only those with a hash in a part that holds some four times the sample are put in order.
+    ids = rows.select("lang", "_order")
+    part = F.pmod("_order", F.lit(1 << 30)) * F.col("n") < F.lit(4.0 * sample * (1 << 30))
+    some = ids.join(ids.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(part).select("lang", "_order").distinct()
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("_order"))
-    chosen = rows.select("lang", "_order").withColumn("turn", turn).where(F.col("turn") <= sample).orderBy("turn", "_order", "lang").limit(sample).toPandas()
+    chosen = some.withColumn("turn", turn).where(F.col("turn") <= sample).orderBy("turn", "_order", "lang").limit(sample).toPandas()
     if chosen.empty:
         return None
 
