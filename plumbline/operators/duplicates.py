@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,11 +75,14 @@ def without_overlaps(reports: DataFrame) -> DataFrame:
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         span = rows["start_line"] - rows["end_line"]
         order = rows.assign(_span=span, _arm=rows["arm"] != "F").sort_values(["_span", "_arm", "start_line", "start_col"], kind="stable")
-        taken: list[tuple[int, int]] = []
+        starts: list[int] = []  # of the spans taken, in order; they do not overlap
+        ends: list[int] = []
         keep = []
         for i, a, b in zip(order.index, order["start_line"], order["end_line"], strict=True):
-            if all(y < a or b < x for x, y in taken):
-                taken.append((a, b))
+            at = bisect_right(starts, b)
+            if not at or ends[at - 1] < a:
+                starts.insert(at, a)
+                ends.insert(at, b)
                 keep.append(i)
         return rows.loc[sorted(keep)]
 
@@ -88,31 +92,51 @@ def without_overlaps(reports: DataFrame) -> DataFrame:
 BLOCK = 2048
 
 
-def similar_vectors(vectors: DataFrame, threshold: float) -> DataFrame:
+def similar_vectors(vectors: DataFrame, threshold: float, within: str | None = None) -> DataFrame:
     """(a, b, cosine) of every two of vectors(id, v), a < b, whose cosine reaches the threshold: exact, by blocks of rows.
 
-    Vectors are packed into blocks; each two blocks meet once in one matrix product. Null vectors take no part;
-    the cosine with a zero vector is 0. Vectors of unlike lengths are compared over the shorter length.
+    Vectors are packed into blocks of bytes; each two blocks meet once in one matrix product, and with `within` only blocks
+    of equal values of that column. Null vectors take no part; the cosine with a zero vector is 0. Vectors of unlike
+    lengths are compared over the shorter length.
     """
-    n = vectors.where("v IS NOT NULL").count()
-    cells = max(1, -(-n // BLOCK))
+    sound = vectors.where("v IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), (F.col(within).cast("string") if within else F.lit("")).alias("part"))
+    cells = sound.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cells"))
 
-    def pack(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in groups:
-            for cell, i, v in zip(batch.column("cell").to_pylist(), batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                held.setdefault(cell, []).append((i, v))
-        for cell, rows in held.items():
-            yield pa.record_batch([pa.array([cell], pa.int32()), pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), pa.array([[v for _, v in rows]], pa.list_(pa.list_(pa.float64())))], ["cell", "ids", "vs"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def out(key):
+            ids, sizes, flat = (np.concatenate(x) for x in zip(*held.pop(key), strict=True))
+            part, cell = key
+            return pa.record_batch([pa.array([part], pa.string()), pa.array([cell], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, sizes, flat))], ["part", "cell", "ids", "sizes", "vs"])
+
+        for batch in batches:
+            ids, v = np.asarray(batch.column("id")), batch.column("v")
+            sizes, flat = np.asarray(v.value_lengths()).astype(np.int64), np.asarray(v.flatten())
+            first = np.cumsum(sizes) - sizes
+            keys = list(zip(batch.column("part").to_pylist(), batch.column("cell").to_pylist(), strict=True))
+            for key in dict.fromkeys(keys):
+                own = np.array([k for k, x in enumerate(keys) if x == key])
+                at = np.repeat(first[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(sizes[own].sum())
+                held.setdefault(key, []).append((ids[own], sizes[own], flat[at]))
+                if sum(len(x[0]) for x in held[key]) >= BLOCK:  # more rows of one cell are another block
+                    yield out(key)
+        for key in list(held):
+            yield out(key)
+
+    def unpacked(ids: bytes, sizes: bytes, flat: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        many = np.frombuffer(sizes, np.int64)
+        x = np.zeros((len(many), width))
+        x[np.arange(width)[None, :] < many[:, None]] = np.frombuffer(flat, np.float64)
+        return np.frombuffer(ids, np.int64), many, x
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                one, other, x, y = (batch.column(c)[k].as_py() for c in ("ids", "ids_o", "vs", "vs_o"))
-                width = max(map(len, x + y), default=0)
-                fill = lambda vs: np.array([v + [0.0] * (width - len(v)) for v in vs], float).reshape(len(vs), width)  # noqa: B023, E731
-                a, b = fill(x), fill(y)
-                la, lb = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                width = max((int(np.frombuffer(row[c], np.int64).max()) for c in ("sizes", "sizes_o") if row[c]), default=0)
+                one, la, a = unpacked(row["ids"], row["sizes"], row["vs"], width)
+                other, lb, b = unpacked(row["ids_o"], row["sizes_o"], row["vs_o"], width)
                 if (la == width).all() and (lb == width).all():
                     norm = np.sqrt((a**2).sum(1))[:, None] * np.sqrt((b**2).sum(1))[None, :]
                 else:  # norms over the shorter length of each two
@@ -121,14 +145,16 @@ def similar_vectors(vectors: DataFrame, threshold: float) -> DataFrame:
                     norm = np.sqrt(np.take_along_axis(ca, short, 1)) * np.sqrt(np.take_along_axis(cb, short.T, 1)).T
                 cos = np.divide(a @ b.T, norm, out=np.zeros(norm.shape), where=norm > 0)
                 i, j = np.nonzero(cos >= threshold)
-                p, q = np.array(one, np.int64)[i], np.array(other, np.int64)[j]
-                keep = p < q if one == other else np.ones(len(p), bool)
+                p, q = one[i], other[j]
+                keep = p < q if row["block"] == row["block_o"] else p != q
                 yield pa.record_batch([pa.array(np.minimum(p, q)[keep]), pa.array(np.maximum(p, q)[keep]), pa.array(cos[i, j][keep])], ["a", "b", "cosine"])
 
-    rows = vectors.where("v IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("cell"))
-    blocks = rows.repartition(min(cells, 4096), "cell").mapInArrow(pack, "cell int, ids array<long>, vs array<array<double>>")
-    sent = blocks.select(F.explode(F.sequence(F.lit(0), "cell")).alias("to"), F.col("ids").alias("ids_o"), F.col("vs").alias("vs_o"))
-    return blocks.join(sent, blocks["cell"] == sent["to"]).select("ids", "vs", "ids_o", "vs_o").mapInArrow(meet, "a long, b long, cosine double")
+    rows = sound.join(cells, "part").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+    blocks = written(rows.repartition("part", "cell").select("id", "v", "part", "cell").mapInArrow(pack, "part string, cell int, ids binary, sizes binary, vs binary").withColumn("block", F.xxhash64("ids", "vs")), "blocks")
+    # A block is sent to those of its cell and of the cells before; of two in one cell the smaller hash goes to the larger, and each to itself.
+    sent = blocks.select("part", F.explode(F.sequence(F.lit(0), "cell")).alias("to"), F.col("cell").alias("cell_o"), *[F.col(c).alias(f"{c}_o") for c in ("ids", "sizes", "vs", "block")])
+    met = blocks.join(sent, (blocks["part"] == sent["part"]) & (blocks["cell"] == sent["to"])).where("cell < cell_o OR block <= block_o")
+    return met.select("ids", "sizes", "vs", "block", "ids_o", "sizes_o", "vs_o", "block_o").mapInArrow(meet, "a long, b long, cosine double")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

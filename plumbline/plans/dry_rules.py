@@ -159,7 +159,7 @@ def single_source_threshold(inputs, options):
         words = F.lower(F.regexp_replace(F.regexp_replace("name", "([a-z0-9])([A-Z])", "$1 $2"), "_", " "))
         once = gated.select("package_dir", "name").distinct().select("package_dir", "name", words.alias("text"), F.xxhash64("package_dir", "name").alias("id"), F.sha2(words, 256).alias("hash"))
         vectors = embedded(once)
-        near = D.similar_vectors(vectors.select("id", "v"), options.get("nameCosine", N.NAME_COSINE))
+        near = D.similar_vectors(vectors.select("id", "v", "package_dir"), options.get("nameCosine", N.NAME_COSINE), within="package_dir")
         side = lambda k: once.select(col("id").alias(k), col("package_dir").alias(f"{k}_dir"), F.concat_ws("\0", "package_dir", "name").alias(f"{k}_key"))
         close = near.join(side("a"), "a").join(side("b"), "b").where("a_dir = b_dir").select(col("a_key").alias("a"), col("b_key").alias("b"))
         named = gated.withColumn("form", col("name"))

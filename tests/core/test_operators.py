@@ -168,3 +168,12 @@ def test_diagnostics_and_documents(spark, tmp_path):
 def test_components_of_loops_and_nulls(spark):
     links = spark.createDataFrame([(1, 1), (2, 3), (3, 2), (4, None), (5, 6), (6, 7), (7, 7)], "u long, v long")
     assert {r.node: r.component for r in graphs.components(links).collect()} == {1: 1, 2: 2, 3: 2, 5: 5, 6: 5, 7: 5}
+
+
+def test_similar_vectors_within_a_column(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "BLOCK", 3)
+    rng = random.Random(11)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(3)], "ab"[k % 2]) for k in range(40)]
+    got = {(r.a, r.b) for r in duplicates.similar_vectors(spark.createDataFrame(rows, "id long, v array<double>, p string"), 0.6, "p").collect()}
+    cosine = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+    assert got == {(i, j) for i, x, p in rows for j, y, q in rows if i < j and p == q and cosine(x, y) >= 0.6}
