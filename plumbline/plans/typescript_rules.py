@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import violations
+from ..model import NO_SUGGESTION, violations
 from .engine import rule
 
 
@@ -77,3 +77,18 @@ def no_unsafe_assertion(inputs, options):
     angle = (col("text") == "<") & (col("n1.text") == "any") & (col("n2.text") == ">") & ~F.coalesce((col("p1.kind") == "word") & ~col("p1.text").isin(*NO_OPERANDS), F.lit(False)) & ((col("n3.kind") != "mark") | col("n3.text").isin("(", "[", "{"))
     found = near.where(F.coalesce((col("kind") == "word") & (as_any | through) | (col("kind") == "mark") & angle, F.lit(False)))
     return violations(found, "ts/no-unsafe-assertion", "Unsafe type assertion erases type safety.", "Narrow with a type guard, schema parse, or fix the upstream type.", end_line="n1.end_line", end_col="n1.end_col")
+
+
+@rule("dev/concrete-suggestion", "typescript")
+def concrete_suggestion(inputs, options):
+    """Reports whose suggestion is the sentinel for none: its text, or its name, also as a member. A name that an import has changed is not followed."""
+    near = with_near(checked(inputs), 0, 5)
+    reports = near.where("kind = 'word' AND text = 'report' AND n1.text = '(' AND n2.text = '{' AND n2.pair IS NOT NULL").select("file", col("n2.ord").alias("a"), col("n2.pair").alias("z"))
+    ends = lambda token: token["text"].isin(",", "}")
+    said = col("n2.kind").isin("string", "template") & (F.expr("substring(n2.text, 2, length(n2.text) - 2)") == NO_SUGGESTION) & ends(col("n3"))
+    named = (col("n2.text") == "NO_SUGGESTION") & ends(col("n3"))
+    member = (col("n3.text") == ".") & (col("n4.text") == "NO_SUGGESTION") & ends(col("n5"))
+    given = near.where("kind = 'word' AND text = 'suggestion' AND n1.text = ':'").where(F.coalesce(said | named | member, F.lit(False))).withColumn("last", F.when(member, col("n4")).otherwise(col("n2")))
+    found = given.join(reports, "file").where("a < ord AND ord < z").dropDuplicates(["file", "ord"])
+    message = "Product rules must not report the NO_SUGGESTION sentinel."
+    return violations(found, "dev/concrete-suggestion", message, "Pass a concrete suggestion that tells another agent how to fix the violation.", line="n2.line", col="n2.col", end_line="last.end_line", end_col="last.end_col")

@@ -14,6 +14,11 @@ CASES = {
     ),
     "ts/no-export-star": ("export * from './a'\nexport * as b from './b'\nexport type * from './c'\n", [1, 2, 3], "export { a } from './a'\nimport * as b from './b'\nexport const c = a * from\n"),
     "ts/no-non-null-assertion": ("const a = b!.c\nf(x!)\nconst d = g()! + h[0]!\n", [1, 2, 3, 3], "if (!a) {}\nconst b = a != c\nlet x!: string\nreturn !y\nconst t = `a!`\n"),
+    "dev/concrete-suggestion": (
+        "context.report({ file, suggestion: NO_SUGGESTION });\nreport({\n  suggestion: core.NO_SUGGESTION,\n});\nreport({ suggestion: 'No suggestion available for this rule.' })\n",
+        [1, 3, 5],
+        "report({ suggestion: 'Do this.' })\nconst x = { suggestion: NO_SUGGESTION }\nreport(x)\nreport({ suggestion: NO_SUGGESTION + 'x' })\n",
+    ),
     "ts/no-unsafe-assertion": ("const a = b as any\nconst c = d as unknown as T\nconst e = (f as unknown) as T\nconst g = <any>h\n", [1, 2, 3, 4], "const a = b as unknown\nconst c = d as Any\nimport { as } from './any'\nconst s = 'x as any'\nconst m = new Map<any>()\n"),
 }
 
