@@ -354,3 +354,17 @@ def test_sentencepiece(spark):
     digests = by_id(pieces.encoded(frame(spark, [(1, "a b"), (2, "a▁b")]), digests=True), "exact", "ids_sha256")
     assert digests[1][0] and not digests[2][0] and digests[1][1] == hashlib.sha256(np.array(model.encode("a b"), "<i4").tobytes()).hexdigest()
     assert pieces.encoded(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name, value", [("MEMORY", 0), ("MEMORY", 5), ("MEMORY_CHARS", 10), ("SHORT", 1), ("SHORT", 5)])
+def test_pieces_at_the_borders_of_memory_and_rounds(name, value, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, name, value)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    encoder = pieces.Encoder(pieces.read_model())
+    rng = random.Random(3)
+    for _ in range(6):
+        many = [" ".join("".join(rng.choice("abcé語 0") for _ in range(rng.choice([1, 4, 9, 60]))) for _ in range(5)) for _ in range(4)] + [None, ""]
+        flat, at = encoder.encode(many)
+        assert [flat[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [library.encode(t) if t else [] for t in many]
