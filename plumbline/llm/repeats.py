@@ -7,7 +7,10 @@ A window is `length` successive tokens of one document. Which windows stand earl
 2. Runs are dealt by anchor, packed into binary rows, and joined on it. A task of the map side first settles the
    runs whose content it has seen in an earlier document itself, so a passage with millions of copies is sent
    once a task. Where a run's content stands earlier, all its windows repeat, and nothing is left to extend. The
-   first run of each content whose anchor also has other contents stays open.
+   first run of each content stays open if another content of its anchor may share a window with it. A window that
+   holds the anchor has at least half of its other tokens on one side of it, so a shared one needs a side of that many
+   tokens in common: 16 bits of both sides' hashes go with a run. Anchors alone coincide by chance, and ever more
+   of them the larger the table is.
 3. Open runs are read again from their texts and dealt by anchor with all their tokens: the anchor with as much
    on either side as its windows reach. The operator's index extends or sorts them, and finds every window of
    theirs that stands earlier. What holds of the hottest anchors: where a task has over HOT contents of one, or all
@@ -72,11 +75,33 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
+#: Sides of a run that holds its anchor at several places, and of a marker: it may share a window with any other.
+WILD = 0xFFFFFFFF
+
+
+def sides_of(codes: np.ndarray, grams: np.ndarray, start: np.ndarray, last: np.ndarray, wide: int, kind: Kind) -> np.ndarray:
+    """16 bits of the hash of what stands left of each run's anchor, and 16 of what stands right of it; 0 where no window of the run reaches so far.
+
+    A run is that of the windows at start to last. A side is half of the tokens that a window has beside its anchor.
+    """
+    half, near = -(-(kind.length - kind.gram) // 2), np.lib.stride_tricks.sliding_window_view(grams, kind.length - kind.gram + 1)
+    # The leftmost place of the anchor in the first window, and the rightmost in the last one: equal if there is one only.
+    place = start + near[start].argmin(1)
+    once = place == last + near.shape[1] - 1 - near[last][:, ::-1].argmin(1)
+    span = max(half, wide)  # where the half is shorter than a code, some of the anchor goes along
+    out = np.zeros(len(start), np.uint32)
+    for shift, reached, at in ((16, place - half >= start, place - half), (0, place + kind.gram + half <= last + kind.length, place + kind.gram + half - span)):
+        some = np.flatnonzero(once & reached)
+        out[some] |= (C.span_hashes(codes, at[some], at[some] + span, wide) % C.U64(0xFFFE)).astype(np.uint32) + np.uint32(1) << np.uint32(shift)
+    out[~once] = WILD
+    return out
+
+
 def runs(codes: np.ndarray, before: np.ndarray, wide: int, kind: Kind) -> tuple[np.ndarray, ...]:
-    """(anchor, content, row, start, windows) of each run; start is counted from the row's first token."""
+    """(anchor, content, row, start, windows, sides) of each run; start is counted from the row's first token."""
     n = int(before[-1]) - kind.length + 1
     if n <= 0:
-        return (np.zeros(0, C.U64),) * 2 + (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, C.U64),) * 2 + (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint32),)
     grams = C.gram_hashes(codes, kind.gram, wide)
     least = sliding_min(grams, kind.length - kind.gram + 1)
     row = np.repeat(np.arange(len(before) - 1, dtype=np.int32), np.diff(before))
@@ -93,7 +118,7 @@ def runs(codes: np.ndarray, before: np.ndarray, wide: int, kind: Kind) -> tuple[
         start, size = np.repeat(start, parts) + step * LONGEST, np.minimum(np.repeat(size, parts) - step * LONGEST, LONGEST)
     content = C.span_hashes(codes, start, start + size + kind.length - 1, wide)
     own = row[start].astype(np.int64)
-    return least[start], content, own, start - before[own], size
+    return least[start], content, own, start - before[own], size, sides_of(codes, grams, start, start + size - 1, wide, kind)
 
 
 def packed(ids: np.ndarray, prints: np.ndarray, rows: np.ndarray, columns: list[np.ndarray]) -> bytes:
@@ -118,7 +143,7 @@ def unpacked(raw: bytes, kinds: list[str]) -> list[np.ndarray]:
     return [np.repeat(out[0], count), np.repeat(out[1], count), *out[2:]]
 
 
-ENTRY, FACT = ["u8", "u4", "u4", "u4"], ["u4", "u4"]
+ENTRY, FACT = ["u8", "u4", "u4", "u4", "u4"], ["u4", "u4"]
 SHUFFLED = "p int, kind int, payload binary"
 
 
@@ -165,7 +190,7 @@ class Joined:
         self.by_place, self.parts = by_place, []
 
     def add(self, entries: list[np.ndarray]) -> list[list[np.ndarray]]:
-        """Takes [key, low, doc_id, print, start, windows]; returns entries found to repeat so far."""
+        """Takes [key, low, doc_id, print, start, windows, sides]; returns entries found to repeat so far."""
         self.parts.append(entries)
         return []
 
@@ -178,7 +203,7 @@ class Joined:
 
 
 def met(entries: list[np.ndarray], by_place: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(entries with no earlier equal, in order of key; the others). Entries are equal if key and low are."""
+    """(entries with no earlier equal, in order of key; the others). Entries are equal if key and low are. What else an entry has goes with it."""
     order = np.argsort(entries[0], kind="stable")
     key, low = entries[0][order], entries[1][order]
     same = key[1:] == key[:-1]
@@ -186,10 +211,11 @@ def met(entries: list[np.ndarray], by_place: bool) -> tuple[list[np.ndarray], li
         order = np.lexsort((entries[1], entries[0]))
         key, low = entries[0][order], entries[1][order]
         same = (key[1:] == key[:-1]) & (low[1:] == low[:-1])
-    key, low, doc, prints, start, size = (c[order] for c in entries)
+    entries = [c[order] for c in entries]
+    key, _, doc, _, start, size = entries[:6]
     head = np.flatnonzero(np.r_[True, ~same]) if len(key) else np.zeros(0, np.int64)
     if not len(head):
-        return [key, low, doc, prints, start, size], [c[:0] for c in entries]
+        return entries, [c[:0] for c in entries]
     many = np.diff(np.r_[head, len(key)])
     least = np.minimum.reduceat(doc, head)
     later = doc > np.repeat(least, many)
@@ -197,7 +223,26 @@ def met(entries: list[np.ndarray], by_place: bool) -> tuple[list[np.ndarray], li
         place = np.where(later, np.iinfo(np.int64).max, start.astype(np.int64))
         later |= place > np.repeat(np.minimum.reduceat(place, head), many)
     later &= size > 0  # a marker is never a repeat
-    return [c[~later] for c in (key, low, doc, prints, start, size)], [c[later] for c in (key, low, doc, prints, start, size)]
+    return [c[~later] for c in entries], [c[later] for c in entries]
+
+
+def may_share(key: np.ndarray, low: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Which entries, in order of key, may share a window with another content of their anchor: one has an equal side, or either is wild."""
+    anchor = key >> C.U64(32)
+    head = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    content = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (low[1:] != low[:-1])])
+    wild = np.repeat(np.logical_or.reduceat(sides == WILD, head), np.diff(np.r_[head, len(key)]))
+    out = wild.copy()
+    for side in (sides >> np.uint32(16), sides & np.uint32(0xFFFF)):
+        some = np.flatnonzero(~wild & (side > 0))
+        if len(some):
+            code = (anchor[some] << C.U64(16)) | side[some]
+            order = np.lexsort((content[some], code))
+            code, some = code[order], some[order]
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            end = np.r_[first[1:], len(code)]
+            out[some] |= np.repeat(content[some[first]] != content[some[end - 1]], end - first)
+    return out
 
 
 def _key(anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,17 +260,15 @@ def find_runs(docs: DataFrame, kind: Kind, n: int) -> DataFrame:
             found = []
             for x, y in C.blocks(offsets[a : b + 1] - offsets[a]):
                 piece = offsets[a + x : a + y + 1]
-                anchor, content, row, start, size = runs(*tokens(kind.unit, data[piece[0] : piece[-1]], piece - piece[0]), kind)
-                found.append((anchor, content, row + a + x, start, size))
-            anchor, content, row, start, size = (np.concatenate(c) for c in zip(*found, strict=True))
+                anchor, content, row, *more = runs(*tokens(kind.unit, data[piece[0] : piece[-1]], piece - piece[0]), kind)
+                found.append((anchor, content, row + a + x, *more))
+            anchor, content, row, start, size, sides = (np.concatenate(c) for c in zip(*found, strict=True))
             if not len(anchor):
                 continue
             key, low = _key(anchor, content)
-            entries = [key, low, ids[row], prints[row], start, size]
-            # met() orders by key: what else goes with an entry is found again by its place.
-            first, again = met([*entries[:4], start, size], kind.by_place)
-            out = facts_of(DUP, n, *again[2:])
-            key, low, doc, mark, start, size = first
+            first, again = met([key, low, ids[row], prints[row], start, size, sides], kind.by_place)
+            out = facts_of(DUP, n, *again[2:6])
+            key, low, doc, mark, start, size, sides = first
             head = np.flatnonzero(np.r_[True, (key[1:] >> C.U64(32)) != (key[:-1] >> C.U64(32))])
             contents = np.add.reduceat(np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1])].astype(np.int64), head)
             hot = np.repeat(contents > HOT, np.diff(np.r_[head, len(key)]))
@@ -233,10 +276,11 @@ def find_runs(docs: DataFrame, kind: Kind, n: int) -> DataFrame:
             marker = head[contents > HOT]
             send = np.r_[np.flatnonzero(~hot), marker]
             size = np.r_[size[~hot], np.zeros(len(marker), size.dtype)]
+            sides = np.r_[sides[~hot], np.full(len(marker), WILD, np.uint32)]
             # The bucket comes from the 32 bits of the anchor that the key holds.
             bucket = ((key[send] >> C.U64(32)) % C.U64(n)).astype(np.int32)
             number = _numbered(doc[send], mark[send])
-            out += dealt(bucket, RUNS, number[0], number[1], number[2], [key[send], low[send], start[send].astype(np.uint32), size.astype(np.uint32)])
+            out += dealt(bucket, RUNS, number[0], number[1], number[2], [key[send], low[send], sides, start[send].astype(np.uint32), size.astype(np.uint32)])
             yield row_batch(out)
 
     return C.map_texts(docs, make, SHUFFLED)
@@ -260,7 +304,7 @@ def settle(shuffled: DataFrame, kind: Kind, n: int, opened: bool) -> DataFrame:
         found: list[list[np.ndarray]] = []
 
         def packed_facts():
-            out = facts_of(DUP, n, *(np.concatenate(c) for c in list(zip(*found, strict=True))[2:])) if found else []
+            out = facts_of(DUP, n, *(np.concatenate(c) for c in list(zip(*(f[:6] for f in found), strict=True))[2:])) if found else []
             found.clear()
             return [row_batch(out)] if out else []
 
@@ -270,8 +314,8 @@ def settle(shuffled: DataFrame, kind: Kind, n: int, opened: bool) -> DataFrame:
                 yield batch.take(pa.array(passed))
             for k, x in enumerate(sort):
                 if x == RUNS:
-                    doc, mark, key, low, start, size = unpacked(payload[k].as_buffer(), ENTRY)
-                    found += joined.add([key, low, doc, mark, start, size])
+                    doc, mark, key, low, sides, start, size = unpacked(payload[k].as_buffer(), ENTRY)
+                    found += joined.add([key, low, doc, mark, start, size, sides])
                 elif x == CONTEXT:
                     found += index.add(Contexts.unpacked(payload[k].as_buffer(), kind))
             if sum(len(f[0]) for f in found) > GATHER:
@@ -284,13 +328,14 @@ def settle(shuffled: DataFrame, kind: Kind, n: int, opened: bool) -> DataFrame:
                 yield from packed_facts()
         yield from packed_facts()
         if first is not None and len(first[0]) and not opened:
-            key, low, doc, mark, start, size = first
-            head = np.flatnonzero(np.r_[True, (key[1:] >> C.U64(32)) != (key[:-1] >> C.U64(32))])
+            share = may_share(first[0], first[1], first[6])
+            key, low, doc, mark, start, size = (c[share] for c in first[:6])
+            head = np.flatnonzero(np.r_[True, (key[1:] >> C.U64(32)) != (key[:-1] >> C.U64(32))]) if len(key) else np.zeros(0, np.int64)
             many = np.diff(np.r_[head, len(key)])
-            differs = np.r_[False, (key[1:] != key[:-1]) | (low[1:] != low[:-1])] | (size == 0)
+            differs = np.r_[False, (key[1:] != key[:-1]) | (low[1:] != low[:-1])][: len(key)] | (size == 0)
             differs &= ~_is_head(head, len(key), size)
-            several = np.repeat(np.logical_or.reduceat(differs, head), many) & (size > 0)
-            hot = np.repeat(np.logical_or.reduceat(size == 0, head) | (np.add.reduceat(differs.astype(np.int64), head) >= CONTENTS), many)
+            total = lambda x: np.repeat(np.add.reduceat(x.astype(np.int64), head), many) if len(x) else x.astype(np.int64)
+            several, hot = (total(differs) > 0) & (size > 0), (total(size == 0) > 0) | (total(differs) >= CONTENTS)
             out = [row for sort, some in ((OPEN, several & ~hot), (SPREAD, several & hot)) for row in facts_of(sort, n, *(c[some] for c in (doc, mark, start, size)))]
             if out:
                 yield row_batch(out)
@@ -425,7 +470,7 @@ def find_opened(together: DataFrame, kind: Kind, n: int) -> DataFrame:
                     codes, _, wide = tokens(kind.unit, text, np.array([0, len(text)]))
                     many = ends - starts
                     at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                    held.append([C.span_hashes(codes, at, at + kind.length, wide), np.zeros(len(at), np.uint32), np.full(len(at), ids[k]), np.full(len(at), prints[k]), at, np.ones(len(at), np.int64)])
+                    held.append([C.span_hashes(codes, at, at + kind.length, wide), np.zeros(len(at), np.uint32), np.full(len(at), ids[k]), np.full(len(at), prints[k]), at, np.ones(len(at), np.int64), np.zeros(len(at), np.uint32)])
                     size += len(at)
             if size > CHUNK_BYTES // 16:
                 yield from out()
@@ -437,9 +482,9 @@ def find_opened(together: DataFrame, kind: Kind, n: int) -> DataFrame:
 
 def _sent(held: list[list[np.ndarray]], kind: Kind, n: int) -> list[tuple[int, int, bytes]]:
     first, again = met([np.concatenate(c) for c in zip(*held, strict=True)], kind.by_place)
-    key, low, doc, mark, start, size = first
+    key, low, doc, mark, start, size, sides = first
     ids, prints, number = _numbered(doc, mark)
-    return facts_of(DUP, n, *again[2:]) + dealt((key % C.U64(n)).astype(np.int32), RUNS, ids, prints, number, [key, low, start.astype(np.uint32), size.astype(np.uint32)])
+    return facts_of(DUP, n, *again[2:6]) + dealt((key % C.U64(n)).astype(np.int32), RUNS, ids, prints, number, [key, low, sides, start.astype(np.uint32), size.astype(np.uint32)])
 
 
 def repeated(docs: DataFrame, kind: Kind) -> tuple[DataFrame, int]:

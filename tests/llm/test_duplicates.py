@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import components, decontaminate, minhash, repeats, substrings, suffixes
@@ -236,3 +237,45 @@ def test_buckets_follow_the_size_of_the_table(spark, tmp_path):
         assert by_id(substrings.without_repeats(docs), "n_words", "n_removed", "kept_sha256") == without_word_repeats(rows)
     finally:
         common.partitions = original
+
+
+@pytest.mark.parametrize("kind", [suffixes.bytes_kind(), suffixes.bytes_kind(20, 10), substrings.words_kind(), substrings.words_kind(7, 2)])
+def test_sides_keep_every_shared_window(kind):
+    """Runs of different contents that share a window may do so by their sides, too, and few others may."""
+    from plumbline.llm import common
+
+    rng = random.Random(3)
+    unit = 1 if kind.unit == "byte" else 3
+    words = lambda n, of: "".join(rng.choice(of) + " " * (kind.unit == "word") for _ in range(n))
+    shared = [words(kind.length + rng.randrange(3 * unit), "abcdefgh") for _ in range(20)]
+    rows = [words(rng.randrange(90), "ijklmnop") + rng.choice(shared) + words(rng.randrange(90), "qrstuvwx") for _ in range(200)]
+    # Anchors in common, but no window.
+    rows += [words(60, "ijklmnop") + shared[0][: unit * (kind.length - 1)] + words(60, "qrstuvwx") for _ in range(50)] + ["a " * 200, "a " * 150 + "b"]
+    data, offsets = common.column_bytes(pa.array(rows))
+    codes, before, wide = repeats.tokens(kind.unit, data, offsets)
+    anchor, content, row, start, size, sides = repeats.runs(codes, before, wide, kind)
+    key, low = repeats._key(anchor, content)
+    order = np.lexsort((low, key))
+    may = np.zeros(len(order), bool)
+    may[order] = repeats.may_share(key[order], low[order], sides[order])
+    tokens = [list(r.encode()) if kind.unit == "byte" else r.split() for r in rows]
+    holders = {}
+    for k in range(len(order)):
+        for at in range(start[k], start[k] + size[k]):
+            holders.setdefault(tuple(tokens[row[k]][at : at + kind.length]), set()).add(k)
+    must = {k for found in holders.values() if len({int(content[k]) for k in found}) > 1 for k in found}
+    assert must and all(may[k] for k in must)
+    assert may.sum() < len(may) / 2
+
+
+def test_anchors_that_coincide_stay_closed(spark):
+    """Texts with 24 bytes in common, and so an anchor, but no 50: nothing of them is sent again."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    common_part = letters(30)
+    rows = [(k, letters(300) + common_part + letters(300)) for k in range(30)] + [(50, (some := letters(200)) + letters(90)), (51, letters(90) + some)]
+    kind, docs = suffixes.bytes_kind(), repeats.keyed(frame(spark, rows, extra=False))
+    facts = repeats.settle(repeats.find_runs(docs, kind, 3).repartitionById(3, "p"), kind, 3, False).collect()
+    opened = {int(d) for f in facts if f.kind in (repeats.OPEN, repeats.SPREAD) for d in repeats.unpacked(bytes(f.payload), repeats.FACT)[0]}
+    assert opened == {50, 51}
+    assert by_id(suffixes.without_matches(frame(spark, rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == without_byte_matches(rows)
