@@ -8,7 +8,8 @@
    chance collisions of low bits, and those far below the threshold are left to step 4.
 3. The others are confirmed on the full sets, and confirmed links are joined into components.
 4. In a bucket that still holds several components, the members outside the largest are held against all
-   members of other components, on the full sets, block against block. A task returns only the links that
+   members of other components, on the full sets, block against block. Members whose size alone rules out every
+   member of another component are left out: sets alike by SHARE differ by no more than that in size. A task returns only the links that
    join its components, so what comes out grows with the members and not with their pairs.
 
 So of the candidates of step 2 no link between components goes unseen: an estimate only decides where a pair is
@@ -313,7 +314,24 @@ def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
     tagged = members.join(label, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("component"))
     parts = tagged.groupBy("band", "component").agg(F.count("*").alias("k"))
     several = parts.groupBy("band").agg(F.count("*").alias("kinds"), F.max_by("component", F.col("k") * (1 << 20) + F.pmod(F.xxhash64("component"), F.lit(1 << 20))).alias("largest")).where("kinds > 1")
-    return C.written(tagged.join(several.select("band", "largest"), "band"), "mixed")
+    every = C.written(tagged.join(several.select("band", "largest"), "band"), "mixed")
+    found = C.written(of_like_size(every), "mixed")
+    C.dropped(members.sparkSession, every)
+    return found
+
+
+#: Steps of size in which sets that can be alike lie apart at most.
+STEPS = 4
+
+
+def of_like_size(mixed: DataFrame) -> DataFrame:
+    """The rows of mixed(band, size, component, ...) whose bucket has another component with a set that could be alike by its size alone."""
+    # Just over the exact step, so that rounding parts no two sets of a share of exactly SHARE.
+    step = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) * (STEPS * (1 - 1e-9) / np.log(100 / SHARE).item())).cast("int")
+    rows = mixed.withColumn("step", step)
+    around = rows.select("band", "component", F.explode(F.sequence(F.col("step") - STEPS, F.col("step") + STEPS)).alias("step"))
+    several = around.groupBy("band", "step").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return rows.join(several.select("band", "step"), ["band", "step"], "left_semi").select(*mixed.columns)
 
 
 def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:

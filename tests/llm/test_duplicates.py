@@ -279,3 +279,19 @@ def test_anchors_that_coincide_stay_closed(spark):
     opened = {int(d) for f in facts if f.kind in (repeats.OPEN, repeats.SPREAD) for d in repeats.unpacked(bytes(f.payload), repeats.FACT)[0]}
     assert opened == {50, 51}
     assert by_id(suffixes.without_matches(frame(spark, rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == without_byte_matches(rows)
+
+
+def test_only_sets_of_like_size_are_met(spark):
+    """Of a bucket, members stay that could be alike to one of another component by their size: at least all pairs of a share of SHARE."""
+    sizes = [1, 3, 4, 30, 40, 41, 75, 100, 300, 1000, 5000, 7500, 10000]
+    pairs = [(a, b) for a in sizes for b in sizes if a <= b]
+    rows = [(k, 2 * k + i, size, 2 * k + i, 2 * k) for k, pair in enumerate(pairs) for i, size in enumerate(pair)] + [(-1, 900, 50, 7, 7), (-1, 901, 50, 7, 7), (-1, 902, 500, 8, 7)]
+    mixed = spark.createDataFrame(rows, "band long, node long, size long, component long, largest long")
+    left = minhash.of_like_size(mixed)
+    assert left.columns == mixed.columns
+    kept = [r.band for r in left.collect()]
+    for k, (a, b) in enumerate(pairs):
+        assert kept.count(k) in (0, 2)
+        assert kept.count(k) == 2 or 100 * a < minhash.SHARE * b
+        assert kept.count(k) == 0 or 100 * a >= 55 * b
+    assert -1 not in kept
