@@ -5,12 +5,16 @@
    smallest doc_id; only classes go on, so copies never meet each other.
 2. Classes that share a band key are candidates. In each bucket every class meets the bucket's leader, not
    every other class. These pairs are estimated from the packed signatures by bit counts, corrected for
-   chance collisions of low bits, and those far below the threshold are left to step 4.
+   chance collisions of low bits, and those far below the threshold are left to steps 4 and 5.
 3. The others are confirmed on the full sets, and confirmed links are joined into components.
-4. In a bucket that still holds several components, the members outside the largest are held against all
-   members of other components, on the full sets, block against block. Members whose size alone rules out every
-   member of another component are left out: sets alike by SHARE differ by no more than that in size. A task returns only the links that
+4. In a bucket of at most SMALL members that still holds several components, the pairs between these are listed.
+   A pair mostly shares several buckets, and many are confirmed or refuted in step 3 already: each of the others is
+   compared once, on the full sets, whatever the estimate says.
+5. In a larger bucket that still holds several components, the members outside the largest are held against all
+   members of other components, on the full sets, block against block. A task returns only the links that
    join its components, so what comes out grows with the members and not with their pairs.
+In steps 4 and 5 members whose size alone rules out every member of another component are left out: sets alike by
+SHARE differ by no more than that in size.
 
 So of the candidates of step 2 no link between components goes unseen: an estimate only decides where a pair is
 compared. With BANDS bands of 4 minima, a pair of similarity 0.75 shares no band with probability 5e-6.
@@ -32,10 +36,14 @@ from .components import components
 
 WORDS, SHARE = 5, 75
 HASHES, BANDS, BITS = 128, 32, 2
-#: Standard errors of an estimate by which it may fall below the threshold before the pair is left to the blocks.
+#: Standard errors of an estimate by which it may fall below the threshold before the pair is left to what follows.
 ERRORS = 5
 #: Members that pass by one copy of a leader's set.
 SPREAD = 1024
+#: Members of a bucket up to which its pairs are listed.
+SMALL = 16
+#: Bits of the filter of texts for each node that is to pass, and in all.
+FILTER_BITS, FILTER_MOST = 16, 1 << 27
 #: Members, and shingles, that a block holds on average.
 BLOCK, WEIGHT = 256, 1 << 16
 
@@ -122,9 +130,25 @@ def likely(one, other, hashes: int):
     return ((1 - differ / hashes) - chance) / (1 - chance) >= SHARE / 100 - ERRORS * error
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    """node and text of the rows that have a doc_id."""
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the rows whose doc_id is in nodes(node), a written table, and of some others: a join with the nodes follows, to which the texts of most others need not be sent.
+
+    A row passes where its hash is one of a node's. Where nodes are more than FILTER_MOST allows for, more others pass.
+    """
+    size, most = 1 << 15, min(FILTER_BITS * nodes.count(), FILTER_MOST)
+    while size < most:
+        size *= 2
+    slot = lambda x: F.pmod(F.xxhash64(x), F.lit(size)) + 1
+    slots = nodes.select(slot("node").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("k"))
+    bits = np.zeros(size >> 3, np.uint8)
+    for row in slots.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect():
+        bits[(row.k - 1) << 12 : row.k << 12] = np.frombuffer(row.bits, np.uint8)
+
+    def make(batch):
+        at = batch.column("slot").to_numpy() - 1
+        yield batch.select(["node", "text"]).filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+
+    return C.map_texts(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text", slot("doc_id").alias("slot")), make, "node long, text string")
 
 
 def alike(one: np.ndarray, other: np.ndarray) -> bool:
@@ -144,7 +168,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     salts = pairs.groupBy("v").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts"))
     leaders = salts.select("v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("v").alias("node"))
     members = pairs.join(salts, "v").select("v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("u").alias("node"))
-    rows = leaders.unionByName(members).join(texts_of(docs), "node").repartition("v", "salt").sortWithinPartitions("v", "salt", "kind")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node"))
+    rows = leaders.unionByName(members).join(texts_of(docs, nodes), "node").repartition("v", "salt").sortWithinPartitions("v", "salt", "kind")
 
     def run(batches):
         at, held = None, []
@@ -220,7 +245,7 @@ def met_in_blocks(mixed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFra
         F.when(outside, F.struct(F.lit(1).alias("kind"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("minor_parts")).cast("int").alias("part"))),
     )
     dealt = counted.select("band", "parts", "node", "component", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("x")).select("band", "parts", "node", "component", "x.*")
-    blocks = C.written(_packed_sets(dealt.join(texts_of(docs), "node")), "blocks")
+    blocks = C.written(_packed_sets(dealt.join(texts_of(docs, mixed.select("node")), "node")), "blocks")
     sent = blocks.where("kind = 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = blocks.where("kind = 0").unionByName(sent.select(*blocks.columns)).repartition("band", "part").sortWithinPartitions("band", "part", "kind")
 
@@ -295,7 +320,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = C.written(pairs.where(likely(F.col("a"), F.col("b"), HASHES)).select("u", "v").distinct(), "pairs")
     label = joined(None, C.written(confirmed(pairs, docs), "links").unionByName(twice))
 
-    mixed = _mixed(members, label)
+    small = _mixed(members.where(F.col("n") <= SMALL), label)
+    if small.limit(1).count():
+        listed = C.written(unsettled(small, pairs), "pairs")
+        links = C.written(confirmed(listed, docs), "links")
+        C.dropped(spark, listed, small)
+        label = joined(label, links)
+    mixed = _mixed(members.where(F.col("n") > SMALL), label)
     if mixed.limit(1).count():
         links, blocks = met_in_blocks(mixed, docs)
         links = C.written(links, "links")
@@ -309,6 +340,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def unsettled(mixed: DataFrame, settled: DataFrame) -> DataFrame:
+    """(u, v), each once: the pairs of mixed(band, node, component, ...) in one bucket and of two components, without those in settled(u, v)."""
+    one, other = (mixed.select("band", F.col("node").alias(end), F.col("component").alias(f"of_{end}")) for end in "uv")
+    pairs = one.join(other, "band").where("u > v AND of_u <> of_v").select("u", "v").distinct()
+    return pairs.join(settled.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
+
+
 def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
     """band, node, size, component and largest for the members of buckets that hold several components."""
     tagged = members.join(label, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("component"))

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import components, decontaminate, minhash, repeats, substrings, suffixes
 
@@ -295,3 +296,30 @@ def test_only_sets_of_like_size_are_met(spark):
         assert kept.count(k) == 2 or 100 * a < minhash.SHARE * b
         assert kept.count(k) == 0 or 100 * a >= 55 * b
     assert -1 not in kept
+
+
+@pytest.mark.parametrize("small", [1, 4, 1000])
+def test_small_and_large_buckets_find_the_same(spark, small, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    if small == 1000:
+        monkeypatch.setattr(minhash, "met_in_blocks", None)
+    rows = chain()
+    assert by_id(minhash.near_duplicates(frame(spark, rows)), "n_shingles", "component_id", "kept") == near_duplicates(rows)
+
+
+def test_pairs_of_small_buckets_are_listed_once(spark):
+    """Pairs in several buckets, of one component, or compared already."""
+    mixed = spark.createDataFrame([(band, node, node // 2) for band in (1, 2, 3) for node in (2, 3, 4, 6)] + [(4, 3, 1), (4, 9, 4)], "band long, node long, component long")
+    settled = spark.createDataFrame([(2, 4), (6, 3), (1, 9)], "u long, v long")
+    assert sorted(map(tuple, minhash.unsettled(mixed, settled).collect())) == [(4, 3), (6, 2), (6, 4), (9, 3)]
+
+
+@pytest.mark.parametrize("most", [1 << 10, minhash.FILTER_MOST])
+def test_texts_of_other_documents_are_left(spark, most, monkeypatch):
+    monkeypatch.setattr(minhash, "FILTER_MOST", most)
+    docs = spark.range(-30000, 30000).select("id", F.concat(F.lit("t"), "id").alias("text")).unionByName(spark.createDataFrame([(None, "none"), (7, None)], "id long, text string")).withColumnRenamed("id", "doc_id")
+    some = {*range(-30000, 30000, 17), 7, 10**15}
+    got = [(r.node, r.text) for r in minhash.texts_of(docs, spark.createDataFrame([(k,) for k in some for _ in range(2)], "node long")).collect()]
+    assert (7, None) in got and {k for k, _ in got} >= some - {10**15}
+    assert all(text in (None, f"t{k}") for k, text in got) and len(got) == len({*got})
+    assert len(some) < len(got) < (10_000 if most > 1 << 10 else 20_000)
