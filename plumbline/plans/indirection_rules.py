@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import violations
 from ..sources.python_ast import bindings, module_bindings
+from ..storage import written
 from .engine import rule
 from .python_rules import INIT, calls, col, is_test, sources
 
@@ -17,21 +18,25 @@ def name_place(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"col": start, "end_line": col("line"), "end_col": start + F.length("name")})
 
 
+#: The columns of nodes that these rules read.
+READ = ("file", "node", "parent", "field", "type", "name", "chain", "scope", "class_name", "nested", "line", "col", "end_line", "traits")
+
+
 def units(inputs) -> DataFrame:
-    """Nodes of sources and, as they may use them, of the tests of the same package, with pkg."""
+    """Nodes of sources and, as they may use them, of the tests of the same package, with pkg; written, as a rule reads them at some twenty places."""
     tests = inputs["python"].where(is_test(col("file")) & ~col("file").rlike(r"(?:^|/)(?:fixtures|__pycache__)(?:/|$)"))
     packages = inputs["packages"].select("file", col("package_dir").alias("pkg"))
-    return sources(inputs).unionByName(tests).join(packages, "file", "left").withColumn("pkg", F.coalesce("pkg", F.lit("")))
+    return written(sources(inputs).unionByName(tests).select(*READ).join(packages, "file", "left").withColumn("pkg", F.coalesce("pkg", F.lit(""))), "units")
 
 
 def bound(inputs) -> tuple[DataFrame, DataFrame]:
-    """(names, modules) that sources import from others of their package, at the top level."""
+    """(names, modules) that sources import from others of their package, at the top level; written, as they are joined again and again."""
     nodes, packages = sources(inputs), inputs["packages"]
     top = nodes.where("NOT (type IN ('Import', 'ImportFrom') AND parent <> 0)")
     own = packages.select("file", col("package_dir").alias("pkg"))
     other = packages.select(col("file").alias("target_file"), col("package_dir").alias("pkg"))
     same = lambda rows: rows.join(own, "file").join(other, ["target_file", "pkg"]).drop("pkg")
-    return same(bindings(top, packages)).dropDuplicates(["file", "local"]), same(module_bindings(top, packages)).dropDuplicates(["file", "local"])
+    return tuple(written(same(make(top, packages)).dropDuplicates(["file", "local"]), "bound") for make in (bindings, module_bindings))
 
 
 def loads(nodes: DataFrame) -> DataFrame:
@@ -105,7 +110,7 @@ def no_unnecessary_def(inputs, options):
     names, modules = bound(inputs)
     none = F.lit(None).cast("string")
     refs = called(nodes).withColumn("is_call", F.lit(True)).unionByName(loads(nodes).drop("is_base").withColumns({"ctor": none, "attr": none, "is_call": F.lit(False)}))
-    own_class = attribute_classes(plain, classes, names)
+    own_class = written(attribute_classes(plain, classes, names), "attributes")
     rows = (
         refs.join(names.select("file", col("local").alias("name"), col("target_file").alias("n_file"), col("target_name").alias("n_name")), ["file", "name"], "left")
         .join(modules.select("file", col("local").alias("owner"), col("target_file").alias("m_file")), ["file", "owner"], "left")
@@ -126,7 +131,7 @@ def no_unnecessary_def(inputs, options):
     by_ctor = once(methods, "pkg", "cls", "name").select("pkg", col("cls").alias("ctor"), "name", col("d_file").alias("c_file"), col("d_node").alias("c_node"))
     rows = rows.join(exact, ["w_file", "w_name", "w_cls"], "left").join(by_name, ["pkg", "name"], "left").join(by_ctor, ["pkg", "ctor", "name"], "left")
     pick = lambda x: F.when(col("ctor").isNotNull(), col(f"c_{x}")).when(col("loose"), col(f"g_{x}")).otherwise(col(f"e_{x}"))
-    rows = rows.select("pkg", col("file").alias("ref_file"), col("line").alias("ref_line"), "name", "attr", "loose", "is_call", pick("file").alias("d_file"), pick("node").alias("d_node"))
+    rows = written(rows.select("pkg", col("file").alias("ref_file"), col("line").alias("ref_line"), "name", "attr", "loose", "is_call", pick("file").alias("d_file"), pick("node").alias("d_node")), "refs")
     spans = defs.select("pkg", "name", "cls", col("file").alias("d_file"), col("node").alias("d_node"), col("line").alias("d_line"), col("end_line").alias("d_end"))
     hit = rows.where("d_node IS NOT NULL").drop("pkg", "name").join(spans, ["d_file", "d_node"])
     uses = hit.where(col("is_call") & ((col("ref_file") != col("d_file")) | outside())).groupBy("d_file", "d_node").agg(F.count("*").alias("uses"))

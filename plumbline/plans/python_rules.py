@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import violations
 from ..sources.python_ast import bindings, module_bindings
+from .. import storage
 from .engine import rule
 
 CUDA = r"^cuda(:[0-9]+)?\z"
@@ -159,7 +160,7 @@ def public_exports_tested(inputs, options):
     free = reexported.unionByName(aliased.drop("source")).join(stated, "file", "left_anti")
     public = listed.select("file", col("text").alias("export"), *place).unionByName(free).where("NOT startswith(export, '_')")
     tests = nodes.where(is_test(col("file")))
-    named = bindings(nodes, packages)
+    named = storage.written(bindings(nodes, packages), "bindings")
     in_tests = tests.select("file").distinct()
     direct = named.join(in_tests, "file", "left_semi").select(col("target_file").alias("t_file"), col("target_name").alias("t_name"))
     attributes = tests.where("type = 'Attribute' AND size(chain) = 2").select("file", col("chain")[0].alias("local"), col("name").alias("t_name"))
