@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..model import violations
 from ..sources.python_ast import bindings
 from .engine import rule
@@ -93,11 +94,11 @@ def with_enclosing(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def gate_sites(nodes: DataFrame, options: dict) -> DataFrame:
-    """file, scope_node and place of what must leave a record: entry points of training files, and saves of artifacts, one for each scope."""
+    """file, scope_node and place of what must leave a record: entry points of training files, and saves of artifacts, one for each scope. Written, as rules read it several times."""
     trained = entries(nodes, options).join(training_files(nodes), "file", "left_semi").select("file", col("node").alias("scope_node"), F.lit(0).alias("order"), "node", *PLACE)
     saved = with_enclosing(calls(nodes).where(is_save()), nodes).select("file", col("enclosing").alias("scope_node"), F.lit(1).alias("order"), "node", *PLACE)
     w = Window.partitionBy("file", "scope_node").orderBy("order", "node")
-    return trained.unionByName(saved).withColumn("k", F.row_number().over(w)).where("k = 1").select("file", "scope_node", *PLACE)
+    return storage.written(trained.unionByName(saved).withColumn("k", F.row_number().over(w)).where("k = 1").select("file", "scope_node", *PLACE), "sites")
 
 
 def bodies(nodes: DataFrame) -> DataFrame:
@@ -114,13 +115,13 @@ def own(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def writers(nodes: DataFrame, packages: DataFrame, name: str) -> DataFrame:
-    """file, w_file, a and z: the top-level def of that name which a file has, or imports."""
+    """file, w_file, a and z: the top-level def of that name which a file has, or imports. Written, as rules read it several times."""
     tops = nodes.where("parent = 0").where(DEFS)
     defs = tops.groupBy("file", "name").agg(F.min(F.struct("node", "post")).alias("d")).select("file", "name", col("d.node").alias("a"), col("d.post").alias("z"))
     local = defs.where(col("name") == name).select("file", col("file").alias("w_file"), "a", "z")
     taken = bindings(nodes, packages).where(col("local") == name).select("file", col("target_file").alias("w_file"), col("target_name").alias("name"))
     other = taken.join(defs.withColumnRenamed("file", "w_file"), ["w_file", "name"]).select("file", "w_file", "a", "z").dropDuplicates(["file"])
-    return local.unionByName(other.join(local, "file", "left_anti"))
+    return storage.written(local.unionByName(other.join(local, "file", "left_anti")), "writers")
 
 
 def reaching(edges: DataFrame, target: str) -> DataFrame:
@@ -154,6 +155,7 @@ def metadata_writer_required(inputs, options):
     writes = in_writer.groupBy("w_file", "a").agg((has("dump", "safe_dump") | has("write_text", "write_bytes") | opens & has("write")).alias("writes"))
     tops = nodes.where("parent = 0").where(DEFS).groupBy("file", "name").agg(F.max("node").alias("scope_node"))
     called = calls(own(nodes, tops.unionByName(sites.select("file", F.lit("").alias("name"), "scope_node")).select("file", "scope_node"))).select("file", "scope_node", last().alias("callee")).where("callee IS NOT NULL").distinct()
+    called = storage.written(called, "called")
     edges = called.join(tops, ["file", "scope_node"]).select("file", "name", "callee")
     good = reaching(edges, name).select("file", col("name").alias("callee")).unionByName(nodes.select("file").distinct().withColumn("callee", F.lit(name))).distinct()
     reached = called.join(good, ["file", "callee"], "left_semi").select("file", "scope_node", F.lit(True).alias("reached")).distinct()
@@ -187,9 +189,10 @@ def payloads(nodes: DataFrame, sites: DataFrame, found: DataFrame, name: str) ->
     spans = sited.select("w_file", "a", "z").distinct().withColumnRenamed("w_file", "file")
     within = lambda rows, proven: inside(rows, spans).select(col("file").alias("w_file"), "a", "key", "value", F.lit(proven).alias("proven"))
     given = sited.select("file", "scope_node", "w_file", "a").join(within(of_dict, True).unionByName(within(of_env, False)), ["w_file", "a"]).select("file", "scope_node", "key", "value", "proven")
+    given = storage.written(given, "given")
     # At its calls in the site's scope.
     body = own(nodes, sited)
-    asked = calls(body).where(last() == name).select("file", "scope_node", col("node").alias("call"))
+    asked = storage.written(calls(body).where(last() == name).select("file", "scope_node", col("node").alias("call")), "asked")
     keywords = nodes.where("type = 'keyword'").select("file", col("parent").alias("call"), col("node").alias("kw"), col("name").alias("key"))
     kw_values = nodes.where("field = 'value' AND type = 'Name'").select("file", col("parent").alias("kw"), col("name").alias("value"))
     by_keyword = asked.join(keywords, ["file", "call"]).join(kw_values, ["file", "kw"], "left").select("file", "scope_node", "key", "value", col("key").isNotNull().alias("proven"))
@@ -203,7 +206,7 @@ def payloads(nodes: DataFrame, sites: DataFrame, found: DataFrame, name: str) ->
     by_arg = direct.join(of_dict, ["file", "node"]).select("file", "scope_node", "key", "value", F.lit(True).alias("proven"))
     every = given.unionByName(by_keyword).unionByName(by_arg)
     payload = every.groupBy("file", "scope_node").agg(F.bool_or("proven").alias("proven"), F.collect_set("key").alias("keys"), F.collect_set("value").alias("names"))
-    return sites.join(payload, ["file", "scope_node"])
+    return storage.written(sites.join(payload, ["file", "scope_node"]), "payloads")
 
 
 @rule("ml/record-code-version", "python", "packages", options=schema(**WRITER_OPTIONS))
